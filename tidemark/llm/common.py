@@ -163,7 +163,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     fewer words has one, of the whole sequence; a text without words has none."""
     h, doc = words.hashes(), words.doc
     n = np.diff(doc)
-    parts = [np.uint64(2 * i + 1) * np.uint64(0xD6E8FEB86659FD93) for i in range(size)]
+    parts = [np.uint64((2 * i + 1) * 0xD6E8FEB86659FD93 % 2**64) for i in range(size)]
     many = np.maximum(n - size + 1, (n > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(n)), many)
     first = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + doc[owner] if len(owner) else np.zeros(0, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linefreq, mixing, tokencount
+from tidemark.llm import linefreq, mixing, neardup, tokencount
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -28,5 +28,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.judge(table(spark, sf_dir, "documents")).drop("places").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_token_counts, op6_quality_rules)}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_token_counts, op6_quality_rules, op7_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
