@@ -130,7 +130,7 @@ class Words:
         return byte_hashes(self.data, self.off)
 
 
-_TABLE = np.random.default_rng(20240611).integers(0, 2**63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TABLE = np.random.default_rng(20240611).integers(0, 2**63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(4096)], np.uint64)
 
 
@@ -140,7 +140,7 @@ def byte_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if not len(n):
         return np.zeros(0, np.uint64)
     place = np.arange(len(data), dtype=np.int64) - np.repeat(off[:-1], n)
-    value = _TABLE[place & 63, data]
+    value = TABLE[place & 63, data]
     if len(n) and n.max() > 64:
         value *= _POWERS[(place >> 6) & 4095]
     out = np.zeros(len(n), np.uint64)
