@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, linefreq, mixing, neardup, quality, tokencount, toxicity
+from tidemark.llm import langid, linefreq, lm, mixing, neardup, quality, tokencount, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -47,5 +47,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, scorer, model)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_token_counts, op6_quality_rules, op7_near_duplicates, op8_toxicity, op9_quality_classifier)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_token_counts, op6_quality_rules, op7_near_duplicates, op8_toxicity, op9_quality_classifier, op10_language_model)}
 ORACLE_SQL: dict[str, str] = {}
