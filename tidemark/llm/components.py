@@ -1,7 +1,12 @@
-"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components: over tables by alternating large-star and small-star rounds (Kiveris et al., 2014), within a
+task by search; and groups that are too large for a task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +41,72 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def blocked(rows: DataFrame, group: str, member: str, size: str, most: int) -> DataFrame:
+    """Rows of groups of more than `most` members in blocks of about a quarter of that, and a group for each pair of
+    blocks: any two members meet, and no group is much over half of `most`. Other groups stay as they are."""
+    blocks = F.when(F.col(size) > most, F.ceil(F.col(size) / F.lit(most / 4))).otherwise(1).cast("long")
+    dealt = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(member, F.lit(11)), F.col("_n")))
+    each = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    name = F.when(F.col("_n") > 1, F.xxhash64(group, F.least("_b", "_o"), F.greatest("_b", "_o"))).otherwise(F.col(group))
+    return each.withColumn(group, name).drop("_n", "_b", "_o")
+
+
+def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in pieces about as large as they come, cut where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield _one(held)
+            held = []
+        change = np.flatnonzero(key[1:] != key[:-1])
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield _one([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield _one(held)
+
+
+def reach(n: int, linked) -> np.ndarray:
+    """Labels of n things: linked(i, rest) tells which of `rest` are linked with i. Each is compared with those not yet reached."""
+    label = np.full(n, -1)
+    rest = np.arange(n)
+    while len(rest):
+        start, queue = rest[0], [rest[0]]
+        label[start], rest = start, rest[1:]
+        while queue and len(rest):
+            hit = linked(queue.pop(), rest)
+            found = rest[hit]
+            label[found] = start
+            queue.extend(found.tolist())
+            rest = rest[~hit]
+    return label
+
+
+def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as one batch for each value of the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if held and held[0].column(0)[0].as_py() != key[a]:
+                yield _one(held)
+                held = []
+            held.append(part)
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

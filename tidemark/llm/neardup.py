@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, Words, keep, mix, prepare, shingles, slices
-from tidemark.llm.components import components
+from tidemark.llm.components import blocked, components, reach, streamed
 
 
 @dataclass(frozen=True)
@@ -135,50 +135,12 @@ def _children(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("node", "class", "sketch").mapInArrow(run, "node long, class long")
 
 
-def reach(n: int, linked) -> np.ndarray:
-    """Labels of n things: linked(i, rest) tells which of `rest` are linked with i. Each is compared with those not yet reached."""
-    label = np.full(n, -1)
-    rest = np.arange(n)
-    while len(rest):
-        start, queue = rest[0], [rest[0]]
-        label[start], rest = start, rest[1:]
-        while queue and len(rest):
-            hit = linked(queue.pop(), rest)
-            found = rest[hit]
-            label[found] = start
-            queue.extend(found.tolist())
-            rest = rest[~hit]
-    return label
-
-
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows as one batch for each value of the first column."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(a, b - a)
-            if held and held[0].column(0)[0].as_py() != key[a]:
-                yield _joined(held)
-                held = []
-            held.append(part)
-    if held:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 def _groups(rows: DataFrame, s: Settings) -> DataFrame:
     """rows: node, class, sketch, each node with at most `small` classes (blocks: twice that). The groups of classes whose MinHash values are alike: grp, class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, members = [], []
-        for node in _streamed(batches):
+        for node in streamed(batches):
             own, sketch = node.column(1).to_numpy(), _matrix(node.column(2), s.width)
             own, first = np.unique(own, return_index=True)
             sketch = sketch[first]
@@ -242,18 +204,16 @@ def candidate_groups(classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def _blocks(large: DataFrame, s: Settings) -> DataFrame:
-    """The exact way for nodes that no branching has made small: blocks of half of `small`, and a node for each pair of blocks."""
-    sizes = large.groupBy(F.col("node").alias("n")).agg(F.ceil(F.count("*") / F.lit(s.small / 4)).cast("long").alias("blocks"))
-    dealt = large.join(sizes, F.col("node") == F.col("n")).withColumn("block", F.pmod(F.xxhash64("class", F.lit(s.seed)), F.col("blocks")))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return _groups(each.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "class", "sketch"), s).distinct()
+    """The exact way for nodes that no branching has made small."""
+    sizes = large.groupBy(F.col("node").alias("n")).agg(F.count("*").alias("size"))
+    return _groups(blocked(large.join(sizes, F.col("node") == F.col("n")), "node", "class", "size", s.small), s).distinct()
 
 
 def confirmed(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """groups: grp, class; texts: class, text. Links u, v (v the least reached) within groups, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _streamed(batches):
+        for group in streamed(batches):
             own = group.column(1).to_numpy()
             parts = [shingles(Words(group.column(2).slice(a, b - a), lower=True), s.shingle) for a, b in slices(group.column(2))]
             values, n = np.concatenate([v for v, _ in parts]), np.concatenate([np.diff(at) for _, at in parts])

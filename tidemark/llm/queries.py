@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, linefreq, lm, mixing, neardup, quality, tokencount, toxicity
+from tidemark.llm import langid, linededup, linefreq, lm, mixing, neardup, quality, tokencount, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.vocabulary(VOCABULARY))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.judge(table(spark, sf_dir, "documents")).drop("places").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
@@ -51,5 +55,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_token_counts, op6_quality_rules, op7_near_duplicates, op8_toxicity, op9_quality_classifier, op10_language_model)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_token_counts, op5_line_dedup, op6_quality_rules, op7_near_duplicates, op8_toxicity, op9_quality_classifier, op10_language_model)}
 ORACLE_SQL: dict[str, str] = {}
