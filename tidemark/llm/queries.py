@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, linededup, linefreq, lm, mixing, neardup, quality, tokencount, toxicity
+from tidemark.llm import decontaminate, langid, linededup, linefreq, lm, mixing, neardup, quality, tokencount, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +20,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each contaminated document and item."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", F.size("spans").cast("long").alias("n_regions"), F.lit(True).alias("contaminated"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -55,5 +61,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_token_counts, op5_line_dedup, op6_quality_rules, op7_near_duplicates, op8_toxicity, op9_quality_classifier, op10_language_model)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_mix_sources, op4_token_counts, op5_line_dedup, op6_quality_rules, op7_near_duplicates, op8_toxicity, op9_quality_classifier, op10_language_model)}
 ORACLE_SQL: dict[str, str] = {}
