@@ -67,10 +67,17 @@ def listed_features(words: Words, wanted: np.ndarray | None = None, starts: tupl
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def sample(rows: DataFrame, order: Column, most_rows: int, text: str, most_bytes: int = 20_000) -> list[tuple]:
-    """The rows of least `order`, at most `most_rows`, whose text has at most `most_bytes`. For fitting only; the bound does
-    not grow with the corpus, and each task sends no more rows than that."""
-    return [tuple(r)[:-1] for r in rows.where(F.octet_length(text) <= most_bytes).withColumn("_o", order).orderBy("_o").limit(most_rows).collect()]
+def share_below(share: float, *columns: str) -> Column:
+    """Whether the row's hash, as a number from 0 to 1, is below `share`: the same rows in any partitioning."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(29), *columns), 11) * F.lit(2.0**-53)) < F.lit(share)
+
+
+def sample(rows: DataFrame, columns: tuple[str, ...], most_rows: int, text: str, by: tuple[str, ...], most_bytes: int = 20_000) -> list[tuple]:
+    """About most_rows rows by the hash of `by`, twice that at most, whose text has at most `most_bytes`; all of fewer rows.
+    For fitting only; the bound does not grow with the corpus."""
+    n = max(1, rows.count())
+    few = rows.where(share_below(most_rows / n, *by)).where(F.octet_length(text) <= most_bytes)
+    return [tuple(r) for r in few.select(*columns).limit(2 * most_rows).collect()]
 
 
 def score_texts(docs: DataFrame, text: str, carry: tuple[str, ...], extra: T.StructType, score: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each labeller votes good, bad or abstains. The votes of all texts are counted by pattern, of which there are at
 most 3 to the number of labellers, whatever the corpus; expectation-maximisation on these counts estimates each
-labeller's accuracies and the share of good texts, given that labellers err independently. Posteriors of at most
+labeller's accuracies and the share of good texts, given that labellers err independently. Posteriors of about
 `most_rows` texts train a logistic scorer on hashed words and shapes, and it scores every whole text.
 """
 
@@ -209,10 +209,10 @@ def patterns(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarra
     return (code[:, None] // 3 ** np.arange(width)) % 3, np.array([r[1] for r in rows], np.float64)
 
 
-def learn(docs: DataFrame, most_rows: int = 6000, text: str = "text") -> tuple[LabelModel, Scorer]:
-    """The label model of all texts; the scorer from the at most most_rows texts of least hash."""
+def learn(docs: DataFrame, most_rows: int = 6000, text: str = "text", doc_id: str = "doc_id") -> tuple[LabelModel, Scorer]:
+    """The label model of all texts; the scorer from about most_rows of them by hash."""
     model = estimate(*patterns(docs, text))
-    rows = sample(docs.select(F.col(text).alias("text")).where("text is not null"), F.xxhash64("text"), most_rows, "text")
+    rows = sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ("text",), most_rows, "text", ("doc_id", "text"))
     column = pa.array([r[0] for r in rows], pa.string())
     target = model.posterior(votes(measures(Words(column, lower=True)))) if len(column) else np.zeros(0)
     return model, fit(Words(column, lower=True), target)

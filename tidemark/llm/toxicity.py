@@ -2,7 +2,7 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector serves all thresholds, which stay in order because their
 gaps are exponentials. x has a 1 for each word or word beginning that the text holds once, twice or four times at
-least, so that a long text dilutes nothing; only features that tell grades apart beyond chance are used. It is fitted by full-gradient steps on the driver from at most `most_rows` labelled texts; every text is then scored whole.
+least, so that a long text dilutes nothing; only features that tell grades apart beyond chance are used. It is fitted by full-gradient steps on the driver from about `most_rows` labelled texts; every text is then scored whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import Words, prepare
-from tidemark.llm.linear import Adam, listed_features, sample, score_texts, sigmoid
+from tidemark.llm.linear import Adam, listed_features, score_texts, share_below, sigmoid
 
 
 @dataclass
@@ -100,17 +100,17 @@ def split_grades(of: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.n
 
 
 def learn(docs: DataFrame, grades: DataFrame, n_grades: int = 2, split: bool = True, most_rows: int = 6000, text: str = "text", doc_id: str = "doc_id") -> Ordinal:
-    """Fits on at most most_rows labelled texts, of each grade as many at most: those of least hash of the id, and of at
-    most 20,000 bytes. split: labels of two grades are made three."""
+    """Fits on about most_rows labelled texts, of each grade as many at most, by the hash of the id, and of at most
+    20,000 bytes. split: labels of two grades are made three."""
     prepare(docs.sparkSession)
+    n = {r["grade"]: r["count"] for r in grades.groupBy("grade").count().collect()}
     each = most_rows // n_grades
-    chosen = None
+    chosen = grades.where("false")
     for g in range(n_grades):
-        own = grades.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id")).limit(each)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    # at most most_rows ids: bounded, whatever the corpus
+        chosen = chosen.unionByName(grades.where((F.col("grade") == g) & share_below(each / max(1, n.get(g, 0)), "doc_id")).limit(2 * each))
+    # a bounded number of ids, whatever the corpus
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sample(joined.select("text", "grade", "doc_id"), F.xxhash64("doc_id", "text"), most_rows, "text")
+    rows = [tuple(r) for r in joined.where(F.octet_length("text") <= 20_000).select("text", "grade").limit(2 * most_rows).collect()]
     of, feature = listed_features(Words(pa.array([r[0] for r in rows], pa.string()), lower=True))
     grade = np.array([r[1] for r in rows], np.int64)
     return fit(of, feature, split_grades(of, feature, grade) if split else grade, n_grades + split)
