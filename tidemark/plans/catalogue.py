@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DecisionConfig
@@ -24,6 +24,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def six(c: str) -> Column:
+    """Six decimals of a number that has nine; what is added decides halves."""
+    return F.round(F.col(c) + 1e-10, 6)
+
+
 def keys() -> list:
     return [k for k in blocking.key_columns(KEYS) if k[0] in KEYS]
 
@@ -135,22 +140,22 @@ def alt_block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def block_word_tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.top(blocking.word_pairs(*testbed.sides(spark, sf_dir)), "s1", "g", 0.15, 40).withColumn("cos", F.round("cos", 6))
+    return vectorize.top(blocking.word_pairs(*testbed.sides(spark, sf_dir)), "s1", "g", 0.15, 40).withColumn("cos", six("cos"))
 
 
 @query
 def block_char_tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.top(blocking.char_pairs(*testbed.sides(spark, sf_dir)), "s1", "g", 0.30, 40).withColumn("cos", F.round("cos", 6))
+    return vectorize.top(blocking.char_pairs(*testbed.sides(spark, sf_dir)), "s1", "g", 0.30, 40).withColumn("cos", six("cos"))
 
 
 @query
 def block_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.top(blocking.word_pairs(*testbed.sides(spark, sf_dir)), "g", "s1", 0.30, 3).withColumn("cos", F.round("cos", 6))
+    return vectorize.top(blocking.word_pairs(*testbed.sides(spark, sf_dir)), "g", "s1", 0.30, 3).withColumn("cos", six("cos"))
 
 
 @query
 def candidate_union_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cand(spark, sf_dir).withColumn("blocking_score", F.round("blocking_score", 6))
+    return cand(spark, sf_dir).withColumn("blocking_score", six("blocking_score"))
 
 
 @query
@@ -160,7 +165,7 @@ def candidates_cap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adaptive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.adaptive_k(cand(spark, sf_dir)).select(S1, CANDIDATE, F.round("blocking_score", 6).alias("blocking_score"))
+    return blocking.adaptive_k(cand(spark, sf_dir)).select(S1, CANDIDATE, six("blocking_score").alias("blocking_score"))
 
 
 @query
@@ -238,7 +243,7 @@ def cross_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def competition_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.competition(cand(spark, sf_dir))
     exact = ("comp__rank", "comp__g_rank")
-    return out.select(S1, CANDIDATE, *[F.col(c) if c in exact else F.round(c, 6).alias(c) for c in ("comp__rank", "comp__score_percentile", "comp__score_gap_top1", "comp__g_best_ratio", "comp__g_rank")])
+    return out.select(S1, CANDIDATE, *[F.col(c) if c in exact else six(c).alias(c) for c in ("comp__rank", "comp__score_percentile", "comp__score_gap_top1", "comp__g_best_ratio", "comp__g_rank")])
 
 
 @query

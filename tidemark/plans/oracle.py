@@ -171,12 +171,12 @@ ORACLE_SQL: dict[str, str] = {
     "block_exact_keys": _with(BED, NORM, KEYS) + " SELECT DISTINCT country, s1, g FROM kpairs WHERE leg = 8",
     "block_address_keys": _with(BED, NORM, KEYS) + " SELECT DISTINCT country, s1, g FROM kpairs WHERE leg = 4",
     "block_pin_key": _with(BED, NORM, KEYS) + " SELECT DISTINCT country, s1, g FROM kpairs WHERE leg = 16",
-    "block_word_tfidf_topn": _with(BED, NORM, WORD) + " SELECT country, s1, g, round(cos, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM wd WHERE cos > 0.15) WHERE r <= 40",
-    "block_char_tfidf_topn": _with(BED, NORM, CHAR) + " SELECT country, s1, g, round(cos, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM cd WHERE cos > 0.30) WHERE r <= 40",
-    "block_bidirectional": _with(BED, NORM, WORD) + " SELECT country, s1, g, round(cos, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, g ORDER BY cos DESC, s1) r FROM wd WHERE cos > 0.30) WHERE r <= 3",
-    "candidate_union_score": _with(*ALL) + " SELECT * REPLACE (round(blocking_score, 6) AS blocking_score) FROM cand",
+    "block_word_tfidf_topn": _with(BED, NORM, WORD) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM wd WHERE cos > 0.15) WHERE r <= 40",
+    "block_char_tfidf_topn": _with(BED, NORM, CHAR) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM cd WHERE cos > 0.30) WHERE r <= 40",
+    "block_bidirectional": _with(BED, NORM, WORD) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, g ORDER BY cos DESC, s1) r FROM wd WHERE cos > 0.30) WHERE r <= 3",
+    "candidate_union_score": _with(*ALL) + " SELECT * REPLACE (round(blocking_score + 1e-10, 6) AS blocking_score) FROM cand",
     "candidates_cap_check": _with(*ALL) + " SELECT 'too_many' AS rule, count(*) AS violations FROM (SELECT source1_entity_id FROM cand GROUP BY 1 HAVING count(*) > 30) UNION ALL SELECT 'repeated_pair', count(*) FROM (SELECT 1 FROM cand GROUP BY source1_entity_id, candidate_entity_id HAVING count(*) > 1) UNION ALL SELECT 'missing_columns', 0",
-    "adaptive_k": _with(*ALL) + " SELECT source1_entity_id, candidate_entity_id, round(blocking_score, 6) AS blocking_score FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY blocking_score DESC, candidate_entity_id) r, max(blocking_score) OVER (PARTITION BY source1_entity_id) m FROM cand) WHERE r <= 30 AND (r <= 5 OR blocking_score >= m - (0.1 + 1e-9))",
+    "adaptive_k": _with(*ALL) + " SELECT source1_entity_id, candidate_entity_id, round(blocking_score + 1e-10, 6) AS blocking_score FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY blocking_score DESC, candidate_entity_id) r, max(blocking_score) OVER (PARTITION BY source1_entity_id) m FROM cand) WHERE r <= 30 AND (r <= 5 OR blocking_score >= m - (0.1 + 1e-9))",
     "sibling_expansion": _with(*ALL) + f""", sk AS (SELECT country, entity_id g, array_to_string(list_sort(list_distinct(list_filter(string_split(address_numbers, '|'), lambda x: regexp_matches(x, '^[0-9]+$')))), '|') key FROM gal),
   sb AS (SELECT * FROM sk WHERE key <> '' AND (country, key) IN (SELECT country, key FROM sk WHERE key <> '' GROUP BY ALL HAVING count(*) <= 100))
   SELECT DISTINCT c.country, c.source1_entity_id AS s1, sb.g FROM cand c JOIN sk ON sk.g = c.candidate_entity_id AND sk.country = c.country JOIN sb ON sb.country = sk.country AND sb.key = sk.key
@@ -190,7 +190,7 @@ ORACLE_SQL: dict[str, str] = {
     "house_pin_flags": _with(*ALL) + " " + _FLAG_PAIRS.replace("c.*, ", "source1_entity_id, candidate_entity_id, ").format(cols=f"({_HOUSE.format(t='a')} = {_HOUSE.format(t='b')} AND {_HOUSE.format(t='a')} <> '')::DOUBLE AS house_number_exact, ({_HOUSE.format(t='a')} <> {_HOUSE.format(t='b')} AND {_HOUSE.format(t='a')} <> '' AND {_HOUSE.format(t='b')} <> '')::DOUBLE AS house_number_conflict, (a.address_pin = b.address_pin AND a.address_pin <> '')::DOUBLE AS pin_exact, (a.legal_suffix <> b.legal_suffix AND a.legal_suffix <> '' AND b.legal_suffix <> '')::DOUBLE AS suffix_conflict"),
     "numeric_conflict": _with(*ALL) + " " + _FLAG_PAIRS.replace("c.*, ", "source1_entity_id, candidate_entity_id, ").format(cols="(len(regexp_extract_all(a.name_raw || ' ' || a.address_raw, '\\d+')) > 0 AND len(regexp_extract_all(b.name_raw || ' ' || b.address_raw, '\\d+')) > 0 AND NOT list_has_any(regexp_extract_all(a.name_raw || ' ' || a.address_raw, '\\d+'), regexp_extract_all(b.name_raw || ' ' || b.address_raw, '\\d+')))::DOUBLE AS numeric_conflict"),
     "cross_features": _CROSS + " FROM (SELECT l_orderkey orderkey, l_linenumber linenumber, round(l_quantity / 50, 6) x, l_discount * 10 y FROM lineitem)",
-    "competition_features": _with(*ALL) + " SELECT source1_entity_id, candidate_entity_id, row_number() OVER (PARTITION BY source1_entity_id ORDER BY blocking_score DESC, candidate_entity_id)::DOUBLE AS comp__rank, round((rank() OVER (PARTITION BY source1_entity_id ORDER BY blocking_score) + (count(*) OVER (PARTITION BY source1_entity_id, blocking_score) - 1) / 2) / count(*) OVER (PARTITION BY source1_entity_id), 6) AS comp__score_percentile, round(max(blocking_score) OVER (PARTITION BY source1_entity_id) - blocking_score, 6) AS comp__score_gap_top1, round(CASE WHEN max(blocking_score) OVER (PARTITION BY candidate_entity_id) > 0 THEN blocking_score / max(blocking_score) OVER (PARTITION BY candidate_entity_id) ELSE 1.0 END, 6) AS comp__g_best_ratio, rank() OVER (PARTITION BY candidate_entity_id ORDER BY blocking_score DESC)::DOUBLE AS comp__g_rank FROM cand",
+    "competition_features": _with(*ALL) + " SELECT source1_entity_id, candidate_entity_id, row_number() OVER (PARTITION BY source1_entity_id ORDER BY blocking_score DESC, candidate_entity_id)::DOUBLE AS comp__rank, round((rank() OVER (PARTITION BY source1_entity_id ORDER BY blocking_score) + (count(*) OVER (PARTITION BY source1_entity_id, blocking_score) - 1) / 2) / count(*) OVER (PARTITION BY source1_entity_id) + 1e-10, 6) AS comp__score_percentile, round(max(blocking_score) OVER (PARTITION BY source1_entity_id) - blocking_score + 1e-10, 6) AS comp__score_gap_top1, round(CASE WHEN max(blocking_score) OVER (PARTITION BY candidate_entity_id) > 0 THEN blocking_score / max(blocking_score) OVER (PARTITION BY candidate_entity_id) ELSE 1.0 END + 1e-10, 6) AS comp__g_best_ratio, rank() OVER (PARTITION BY candidate_entity_id ORDER BY blocking_score DESC)::DOUBLE AS comp__g_rank FROM cand",
     "hard_vetoes": "SELECT l_orderkey, l_linenumber, CASE WHEN (l_linenumber = 1 AND l_discount * 10 < 0.30) OR ((SELECT max(abs(l_tax)) > 0 FROM lineitem) AND round(l_quantity / 50, 6) < 0.30 AND l_tax * 10 < 0.40) THEN 0.0 ELSE 0.9 END AS prob FROM lineitem",
     "prior_shift": "SELECT l_orderkey, l_linenumber, round(1.5 * p / (1.5 * p + 1 - p), 9) AS prob FROM (SELECT *, l_discount * 9 p FROM lineitem)",
     "select_expected_f05": _with(*ALL, PROB, _select()) + " SELECT source1_entity_id, candidate_entity_id, prob FROM sel",
