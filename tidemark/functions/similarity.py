@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import words
 
@@ -192,7 +193,7 @@ def _pairwise(f: Callable[[str, str], float]):
             out.append(known[pair])
         return pd.Series(out, dtype="float64")
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, T.DoubleType())
 
 
 #: (a, b) columns to a double.
@@ -200,14 +201,14 @@ indel_ratio, token_sort, token_set, partial, jw = (_pairwise(f) for f in (ratio,
 EDIT_MEASURES = {"lev_ratio": ratio, "jaro_winkler": jaro_winkler, "token_sort_ratio": token_sort_ratio, "partial_ratio": partial_ratio, "token_set_ratio": token_set_ratio}
 
 
-@F.pandas_udf("struct<lev_ratio:double,jaro_winkler:double,token_sort_ratio:double,partial_ratio:double,token_set_ratio:double>")
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in EDIT_MEASURES]))
 def edit_measures(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """All edit measures of a pair in one crossing to Python."""
     pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
     return pd.DataFrame({k: [f(x, y) for x, y in pairs] for k, f in EDIT_MEASURES.items()}, dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def metaphone_code(s: pd.Series) -> pd.Series:
     return s.map(lambda x: metaphone(x) if x else "", na_action="ignore")
 

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Legal suffixes.
 LEGAL_SUFFIXES = (
@@ -68,7 +69,7 @@ def transliterate_text(t: str) -> str:
     return t if t.isascii() else "".join(c if c.isascii() else _spoken(c, t[i + 1 : i + 2]) for i, c in enumerate(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _transliterate(s: pd.Series) -> pd.Series:
     return s.map(transliterate_text)
 

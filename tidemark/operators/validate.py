@@ -48,7 +48,7 @@ def validate_lines(lines: DataFrame, required: DataFrame, column: str = "matched
     header = head.agg(F.count_if(F.lower(F.trim("value")) != HEADERS[column]).alias("v"))
     body = lines.where("line_no > 1")
     bad = body.agg(F.count_if(~F.contains("value", F.lit("\t"))).alias("v"))
-    rows = body.where(F.contains("value", F.lit("\t"))).select(F.split("value", "\t", 2)[0].alias("s1"), F.split("value", "\t", 2)[1].alias("list"))
+    rows = body.where(F.contains("value", F.lit("\t"))).select(F.substring_index("value", "\t", 1).alias("s1"), F.coalesce(F.get(F.split("value", "\t", 2), F.lit(1)), F.lit("")).alias("list"))
     twice = rows.groupBy("s1").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("v"))
     ids = rows.select("s1", F.filter(F.transform(F.split("list", ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
     inside = ids.agg(F.coalesce(F.sum((F.size("ids") > F.size(F.array_distinct("ids"))).cast("long")), F.lit(0)).alias("v"))
