@@ -67,6 +67,15 @@ def listed_features(words: Words, wanted: np.ndarray | None = None, starts: tupl
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
+def listed_features_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """listed_features() of many texts, a slice at a time."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in slices(column):
+        of, feature = listed_features(Words(column.slice(a, b - a), lower=True))
+        parts.append((of + a, feature))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def share_below(share: float, *columns: str) -> Column:
     """Whether the row's hash, as a number from 0 to 1, is below `share`: the same rows in any partitioning."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(29), *columns), 11) * F.lit(2.0**-53)) < F.lit(share)

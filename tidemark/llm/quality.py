@@ -173,9 +173,20 @@ def inputs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return *(np.concatenate(x) for x in zip(*parts, strict=True)), n
 
 
-def fit(words: Words, target: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> Scorer:
+def inputs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """inputs() of many texts, a slice at a time, so that memory follows the features and not the bytes."""
+    parts = []
+    for a, b in slices(column):
+        of, feature, value, _ = inputs(Words(column.slice(a, b - a), lower=True))
+        parts.append(((of + a).astype(np.int32), feature.astype(np.int32), value.astype(np.float32)))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), 0
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), len(column)
+
+
+def fit(column: pa.Array, target: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> Scorer:
     """Logistic regression on soft targets."""
-    of, feature, value, n = inputs(words)
+    of, feature, value, n = inputs_of(column)
     size = (1 << BITS) + 2 * N_SHAPES + 1
     weights = np.zeros(size)
     if not n:
@@ -209,13 +220,13 @@ def patterns(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarra
     return (code[:, None] // 3 ** np.arange(width)) % 3, np.array([r[1] for r in rows], np.float64)
 
 
-def learn(docs: DataFrame, most_rows: int = 6000, text: str = "text", doc_id: str = "doc_id") -> tuple[LabelModel, Scorer]:
+def learn(docs: DataFrame, most_rows: int = 4000, text: str = "text", doc_id: str = "doc_id") -> tuple[LabelModel, Scorer]:
     """The label model of all texts; the scorer from about most_rows of them by hash."""
     model = estimate(*patterns(docs, text))
     rows = sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ("text",), most_rows, "text", ("doc_id", "text"))
     column = pa.array([r[0] for r in rows], pa.string())
-    target = model.posterior(votes(measures(Words(column, lower=True)))) if len(column) else np.zeros(0)
-    return model, fit(Words(column, lower=True), target)
+    target = [model.posterior(votes(measures(Words(column.slice(a, b - a), lower=True)))) for a, b in slices(column)]
+    return model, fit(column, np.concatenate([np.zeros(0), *target]))
 
 
 def score(docs: DataFrame, scorer: Scorer, model: LabelModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import Words, prepare
-from tidemark.llm.linear import Adam, listed_features, score_texts, share_below, sigmoid
+from tidemark.llm.linear import Adam, listed_features, listed_features_of, score_texts, share_below, sigmoid
 
 
 @dataclass
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, grades: DataFrame, n_grades: int = 2, split: bool = T
     # a bounded number of ids, whatever the corpus
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = [tuple(r) for r in joined.where(F.octet_length("text") <= 20_000).select("text", "grade").limit(2 * most_rows).collect()]
-    of, feature = listed_features(Words(pa.array([r[0] for r in rows], pa.string()), lower=True))
+    of, feature = listed_features_of(pa.array([r[0] for r in rows], pa.string()))
     grade = np.array([r[1] for r in rows], np.int64)
     return fit(of, feature, split_grades(of, feature, grade) if split else grade, n_grades + split)
 
