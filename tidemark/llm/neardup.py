@@ -35,7 +35,7 @@ class Settings:
     shingle: int = 5
     trees: int = 8
     width: int = 64
-    small: int = 256
+    small: int = 1024
     levels: int = 12
     ball_level: int = 4
     seed: int = 5
@@ -49,6 +49,10 @@ class Settings:
         return int(np.floor(self.width * max(0.0, p - self.margin * (p * (1 - p) / self.width) ** 0.5)))
 
 
+#: Elements of sets that are compared with one set at a time.
+CODES_AT_ONCE = 1 << 20
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -231,10 +235,17 @@ def confirmed(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                 marked[mine] = True
                 m = n[rest[fit]]
                 ends = np.cumsum(m)
-                index = np.arange(ends[-1]) - np.repeat(ends - m, m) + np.repeat(at[rest[fit]], m)
-                common = np.add.reduceat(marked[code[index]].astype(np.int64), ends - m)
+                at_once = np.append(np.searchsorted(ends, np.arange(CODES_AT_ONCE, ends[-1], CODES_AT_ONCE)), len(fit))
+                before = 0
+                for to in np.unique(at_once):  # many sets in turns of bounded size
+                    part, size = rest[fit[before:to]], m[before:to]
+                    last = np.cumsum(size)
+                    if len(part):
+                        index = np.arange(last[-1]) - np.repeat(last - size, size) + np.repeat(at[part], size)
+                        common = np.add.reduceat(marked[code[index]].astype(np.int32), last - size)
+                        hit[fit[before:to]] = common * (100 + round(100 * s.similarity)) >= round(100 * s.similarity) * (size + n[i])
+                    before = to
                 marked[mine] = False
-                hit[fit] = common * (100 + round(100 * s.similarity)) >= round(100 * s.similarity) * (m + n[i])
                 return hit
 
             label = reach(len(own), linked)
