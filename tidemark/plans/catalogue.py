@@ -333,7 +333,7 @@ def validate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_map_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.learn_token_map(_name_pairs(spark, sf_dir), least=2)
+    return learning.learn_token_map(_name_pairs(spark, sf_dir), least=1)
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

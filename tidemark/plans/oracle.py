@@ -210,7 +210,7 @@ ORACLE_SQL: dict[str, str] = {
   met AS (SELECT pair_id, token, u.w replacement, u.i pos FROM (SELECT pair_id, token, unnest(list_transform(s_all, lambda x, i: {'w': x, 'i': i})) u, g FROM lone) WHERE u.w <> '' AND NOT list_contains(g, u.w)),
   best AS (SELECT token, arg_max(replacement, (jw, -pos)) replacement FROM (SELECT *, round(jaro_winkler_similarity(token, replacement), 9) jw FROM met WHERE abs(length(token) - length(replacement)) <= 4) WHERE jw >= 0.8 GROUP BY pair_id, token),
   cnt AS (SELECT token, replacement, count(*) n FROM best GROUP BY ALL), md AS (SELECT token, arg_max(replacement, (n, replacement)) replacement, max(n) n FROM cnt GROUP BY 1)
-  SELECT token, replacement, n, round(n / total, 6) AS share FROM md JOIN tot USING (token) WHERE n >= 2 AND round(n / total, 6) >= 0.6""",
+  SELECT token, replacement, n, round(n / total, 6) AS share FROM md JOIN tot USING (token) WHERE n >= 1 AND round(n / total, 6) >= 0.6""",
     "validate_output": _with(BED, NORM) + " SELECT * FROM (VALUES ('empty_file', 0::BIGINT), ('comma_header', 0), ('header', 0), ('malformed_row', 1), ('repeated_s1', 1), ('repeated_id', 1), ('self_match', 1), ('bad_prefix', 1), ('unexpected_s1', 1), ('unknown_id', 2)) t(rule, violations) UNION ALL SELECT 'missing_s1', count(*) FROM s1 WHERE CAST(substring(entity_id, 4) AS BIGINT) % 10 = 3",
     "raw_tsv_scan": _with(BED) + " SELECT entity_id, business_name, business_address, country FROM bed",
     "truth_pairs": _with(BED) + ", l AS (SELECT source1_entity_id, string_agg(candidate_entity_id, ',') m FROM truth GROUP BY 1) SELECT source1_entity_id, unnest(string_split(m, ',')) AS candidate_entity_id FROM l",
