@@ -2,7 +2,8 @@
 
 1. Every text becomes its set of word shingles. Texts of equal sets are one class, so copies cost one row each.
 2. Every class gets `width` MinHash values, of 16 bits each. In each of `trees` independent trees, a node's classes branch by
-   the values at places that a hash of the node chooses, 1/similarity places on average.
+   the values at places that a hash of the node chooses, 1/similarity places on average and one at least. The number of trees
+   follows from `recall`, the share of pairs at the similarity that are to meet though all their nodes are large.
 3. A node of at most `small` classes is compared exhaustively on the MinHash values; classes that agree closely enough, directly or
    through others, form a group. Larger nodes branch again. From level `ball_level` on, the classes closest to a node's
    pivot form groups with it and leave the node, so that crowds of near copies end too.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from tidemark.llm.components import blocked, components, reach, streamed
 class Settings:
     similarity: float = 0.75
     shingle: int = 5
-    trees: int = 8
+    #: Share of pairs at `similarity` that meet in some tree, if no node of theirs is small before the last level.
+    recall: float = 0.99
     width: int = 64
     small: int = 1024
     levels: int = 12
@@ -48,7 +51,26 @@ class Settings:
         p = self.similarity
         return int(np.floor(self.width * max(0.0, p - self.margin * (p * (1 - p) / self.width) ** 0.5)))
 
-
+    @property
+    def trees(self) -> int:
+        """The least number of trees for `recall`, from the places that their roots draw and the chance that a pair shares a
+        path from there to the last level, over the number of places in which a pair at the similarity agrees."""
+        equal = np.arange(self.width + 1)
+        share = equal / self.width
+        weight = np.array([comb(self.width, int(e)) * self.similarity**e * (1 - self.similarity) ** (self.width - e) for e in equal])
+        draw = min(1.0, 1 / (self.similarity * self.width))
+        lost = np.zeros(self.width + 1)  # the chance that no path goes on from a node with the pair
+        for _ in range(self.levels - 1):
+            apart = 1 - share * (1 - lost)
+            lost = (1 - draw * (1 - apart)) ** self.width - (1 - draw) ** self.width * (1 - apart)
+        missed, trees = weight.copy(), 0
+        while missed.sum() > 1 - self.recall and trees < MOST_TREES:
+            missed *= (1 - share * (1 - lost)) ** int(chosen_places(root(trees, self), self).sum())
+            trees += 1
+        return trees
+
+
+MOST_TREES = 64
 #: Elements of sets that are compared with one set at a time.
 CODES_AT_ONCE = 1 << 20
 
@@ -103,26 +125,38 @@ def sketches(docs: DataFrame, s: Settings, text: str = "text", doc_id: str = "do
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)), F.col(text)).mapInArrow(run, schema)
 
 
+def root(tree: int, s: Settings) -> np.ndarray:
+    """The root's hash, in an array of one."""
+    return mix(np.array([s.seed * 1000 + tree], np.uint64))
+
+
+def chosen_places(nodes: np.ndarray, s: Settings) -> np.ndarray:
+    """Which of `width` places each node branches by: each with probability 1 / (similarity * width), and that of the least hash."""
+    place = mix(np.arange(s.width, dtype=np.uint64) + np.uint64(s.seed << 20))
+    drawn = mix(nodes[:, None] ^ place) >> np.uint64(11)
+    chosen = drawn.astype(np.float64) * 2.0**-53 < 1 / (s.similarity * s.width)
+    chosen[np.arange(len(nodes)), drawn.argmin(1)] = True
+    return chosen
+
+
 def branch(nodes: np.ndarray, sketch: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The children (their hash, and the row each comes from) of rows at nodes."""
     place = mix(np.arange(s.width, dtype=np.uint64) + np.uint64(s.seed << 20))
-    at, column = [], []
-    for i in range(s.width):  # a node chooses this place with probability 1 / (similarity * width)
-        chosen = (mix(nodes ^ place[i]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < 1 / (s.similarity * s.width)
-        at.append(np.flatnonzero(chosen))
-        column.append(np.full(len(at[-1]), i))
-    row, column = np.concatenate(at), np.concatenate(column)
+    known, number = np.unique(nodes, return_inverse=True)
+    row, column = np.nonzero(chosen_places(known, s)[number])
     return mix(mix(nodes[row] ^ place[column]) + sketch[row, column].astype(np.uint64)), row
 
 
 def _roots(rows: DataFrame, s: Settings) -> DataFrame:
     """rows: class, sketch. The first level of all trees: node, class."""
+    trees = s.trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = [root(t, s)[0] for t in range(trees)]
         for batch in batches:
             own, sketch = batch.column(0).to_numpy(), _matrix(batch.column(1), s.width)
-            for t in range(s.trees):
-                children, row = branch(np.full(len(own), mix(np.array([s.seed * 1000 + t], np.uint64))[0]), sketch, s)
+            for r in roots:
+                children, row = branch(np.full(len(own), r), sketch, s)
                 yield pa.RecordBatch.from_arrays([_long(children), pa.array(own[row])], names=["node", "class"])
 
     return rows.select("class", "sketch").mapInArrow(run, "node long, class long")
