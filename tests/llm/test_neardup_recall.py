@@ -34,3 +34,32 @@ def test_every_node_draws_a_place():
     nodes = np.concatenate([neardup.mix(np.array([s.seed * 1000 + t], np.uint64)) for t in range(s.trees)] + [neardup.mix(np.arange(500, dtype=np.uint64))])
     row = neardup.branch(nodes, np.zeros((len(nodes), s.width), np.uint16), s)[1]
     assert (np.bincount(row, minlength=len(nodes)) > 0).all()
+
+
+def test_a_crowd_that_must_branch_stays_whole(spark):
+    """Edits of one text, in nodes that are too large: found like in one node."""
+    rows = [(i, " ".join(f"w{j}" if j != i % 60 else f"e{i}" for j in range(60))) for i in range(120)] + [(500, " ".join(f"w{j}" for j in range(60)))]
+    s = neardup.Settings(small=8, levels=4, ball_level=2)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()
+    assert sum(r.component_id == 0 for r in got) >= 118
+
+
+def test_what_is_close_to_the_pivot_meets_the_others(spark):
+    """In large nodes, A is close to the pivot, B to A but not to the pivot: A and B still share a group."""
+    rng = np.random.default_rng(2)
+    s = neardup.Settings(small=8, levels=2, ball_level=1)
+
+    def changed(x, places):
+        out = x.copy()
+        out[rng.permutation(np.flatnonzero(x == pivot))[:places]] ^= 1
+        return out
+
+    pivot = rng.integers(0, 2**16, s.width).astype(np.uint16)
+    close = [changed(pivot, 8) for _ in range(60)]
+    further = [changed(x, 14) for x in close]
+    rows = [(i, x.tobytes()) for i, x in enumerate([pivot, *close, *further])]
+    classes, groups = spark.createDataFrame(rows, "class long, sketch binary"), {}
+    found, rest = neardup.candidate_groups(classes, s)
+    for r in found.unionByName(neardup.open_groups(rest, spark.createDataFrame([(0, 1)], "u long, v long"), s)).collect():
+        groups.setdefault(r.grp, set()).add(r["class"])
+    assert all(any({i, i + 60} <= g for g in groups.values()) for i in range(1, 61))

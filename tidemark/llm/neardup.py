@@ -5,14 +5,15 @@
    the values at places that a hash of the node chooses, 1/similarity places on average and one at least. The number of trees
    follows from `recall`, the share of pairs at the similarity that are to meet though all their nodes are large.
 3. A node of at most `small` classes is compared exhaustively on the MinHash values; classes that agree closely enough, directly or
-   through others, form a group. Larger nodes branch again. From level `ball_level` on, the classes closest to a node's
-   pivot form groups with it and leave the node, so that crowds of near copies end too.
+   through others, form a group. Larger nodes branch again. From level `ball_level` on, a larger node of which half is as close to its pivot
+   as the similarity is a crowd of near copies, which branching hardly parts: it ends there. Its classes are compared with
+   the pivot first; then, in blocks, every two that the confirmed links have not connected yet.
 4. Equal groups of several nodes and trees are one. The texts of each group come together, and links within it are
    confirmed on the full shingle sets by searching from each class among those not yet reached.
 5. Connected components of confirmed links give each document the least id that it can reach.
 
-A node or group never has more than `small` classes; what is still larger after `levels` goes into blocks, and every
-pair of blocks is compared.
+A node or group never has more than `small` classes; what is still larger after `levels` goes into blocks like a crowd, and
+every pair of blocks is compared.
 """
 
 from __future__ import annotations
@@ -174,15 +175,21 @@ def _children(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def _groups(rows: DataFrame, s: Settings) -> DataFrame:
-    """rows: node, class, sketch, each node with at most `small` classes (blocks: twice that). The groups of classes whose MinHash values are alike: grp, class."""
+    """rows: node, class, sketch, root, each node with at most `small` classes (blocks: twice that). The groups of classes whose MinHash values
+    are alike, directly or through others: grp, class. Classes of equal root are connected already and not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, members = [], []
         for node in streamed(batches):
-            own, sketch = node.column(1).to_numpy(), _matrix(node.column(2), s.width)
-            own, first = np.unique(own, return_index=True)
-            sketch = sketch[first]
-            label = reach(len(own), lambda i, rest, sketch=sketch: (sketch[rest] == sketch[i]).sum(1) >= s.least_equal)
+            own, first = np.unique(node.column(1).to_numpy(), return_index=True)
+            sketch, root = _matrix(node.column(2), s.width)[first], node.column(3).to_numpy()[first]
+
+            def linked(i: int, rest: np.ndarray, sketch=sketch, root=root) -> np.ndarray:
+                hit = root[rest] != root[i]
+                hit[hit] = (sketch[rest[hit]] == sketch[i]).sum(1) >= s.least_equal
+                return hit
+
+            label = reach(len(own), linked)
             order = np.argsort(label, kind="stable")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(label[order])) + 1, [len(own)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -196,55 +203,63 @@ def _groups(rows: DataFrame, s: Settings) -> DataFrame:
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], names=["grp", "class"])
 
-    return rows.select("node", "class", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "grp long, class long")
+    return rows.select("node", "class", "sketch", "root").repartition("node").sortWithinPartitions("node").mapInArrow(run, "grp long, class long")
 
 
-def _balls(rows: DataFrame, s: Settings, leave: bool) -> DataFrame:
-    """rows: node, class, sketch, pivot, pivot_sketch. near: alike enough to be a candidate with the pivot; stays: whether it branches on."""
+def _marked(large: DataFrame, s: Settings) -> DataFrame:
+    """large: node, class, sketch, pivot. near: alike enough to be a candidate with the pivot; close: as close to it as the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = (_matrix(batch.column(2), s.width) == _matrix(batch.column(4), s.width)).sum(1)
-            near = same >= s.least_equal
-            stays = same < s.similarity * s.width if leave else np.ones(len(same), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near), pa.array(stays)], names=["node", "class", "sketch", "pivot", "near", "stays"])
+            same = (_matrix(batch.column(3), s.width) == _matrix(batch.column(4), s.width)).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same >= s.least_equal), pa.array(same >= s.similarity * s.width)], names=["node", "class", "pivot", "sketch", "near", "close"])
 
-    return rows.select("node", "class", "sketch", "pivot", "pivot_sketch").mapInArrow(run, "node long, class long, sketch binary, pivot long, near boolean, stays boolean")
+    pivots = large.where(F.col("class") == F.col("pivot")).select(F.col("node").alias("n"), F.col("sketch").alias("pivot_sketch")).distinct()
+    rows = large.join(pivots, F.col("node") == F.col("n")).select("node", "class", "pivot", "sketch", "pivot_sketch")
+    return rows.mapInArrow(run, "node long, class long, pivot long, sketch binary, near boolean, close boolean")
 
 
-def candidate_groups(classes: DataFrame, s: Settings) -> DataFrame:
-    """classes: class, sketch. Groups of classes, at most `small` each, that any two similar classes share with high probability: grp, class."""
-    level, found = _roots(classes, s), []
+def candidate_groups(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """classes: class, sketch. Groups of classes, at most `small` each: grp, class; and nodes that are still to be compared, for
+    open_groups(): node, class, sketch (None: there are none). Any two similar classes share one of both with high probability."""
+    level, found, ended = _roots(classes, s), [], []
     for depth in range(1, s.levels + 1):
         level = keep(level)
         sized = level.groupBy(F.col("node").alias("n")).agg(F.count("*").alias("size"), F.min("class").alias("pivot")).where("size > 1")
         # only rows that have company go on; a hot node is one row of `sized`, and its rows can be split
         placed = keep(level.join(sized, F.col("node") == F.col("n")).select("node", "class", "size", "pivot").join(classes, "class"))
-        found.append(keep(_groups(placed.where(F.col("size") <= s.small), s).distinct()))
+        found.append(keep(_groups(placed.where(F.col("size") <= s.small).withColumn("root", F.col("class")), s).distinct()))
         large = placed.where(F.col("size") > s.small).drop("size")
         if large.isEmpty():
             break
-        leave = depth >= s.ball_level
         if depth == s.levels:
-            found.append(_blocks(large, s))
+            ended.append(large.select("node", "class", "sketch"))
             break
-        if leave:
-            pivots = large.where(F.col("class") == F.col("pivot")).select(F.col("node").alias("n"), F.col("sketch").alias("pivot_sketch")).distinct()
-            marked = keep(_balls(large.join(pivots, F.col("node") == F.col("n")), s, True))
-            pairs = marked.where("near and class <> pivot").select(F.xxhash64(F.least("class", "pivot"), F.greatest("class", "pivot")).alias("grp"), F.array("class", "pivot").alias("both"))
+        if depth >= s.ball_level:
+            marked = keep(_marked(large, s))
+            share = marked.groupBy(F.col("node").alias("n")).agg(F.avg(F.col("close").cast("int")).alias("share"))
+            crowd = marked.join(share.where("share >= 0.5"), F.col("node") == F.col("n"), "left_semi")
+            pairs = crowd.where("near and class <> pivot").select(F.xxhash64(F.least("class", "pivot"), F.greatest("class", "pivot")).alias("grp"), F.array("class", "pivot").alias("both"))
             found.append(pairs.select("grp", F.explode("both").alias("class")))
-            large = marked.where("stays")
+            ended.append(crowd.select("node", "class", "sketch"))
+            large = marked.join(share.where("share < 0.5"), F.col("node") == F.col("n"), "left_semi").select("node", "class", "sketch")
         level = _children(large, s)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    rest = ended[0] if ended else None
+    for x in ended[1:]:
+        rest = rest.unionByName(x)
+    return out.distinct(), rest
 
 
-def _blocks(large: DataFrame, s: Settings) -> DataFrame:
-    """The exact way for nodes that no branching has made small."""
-    sizes = large.groupBy(F.col("node").alias("n")).agg(F.count("*").alias("size"))
-    return _groups(blocked(large.join(sizes, F.col("node") == F.col("n")), "node", "class", "size", s.small), s).distinct()
+def open_groups(rest: DataFrame, links: DataFrame, s: Settings) -> DataFrame:
+    """The exact way for nodes that no branching has made small: groups (grp, class) of their classes that are alike and that the
+    confirmed links have not connected. A node whose classes are all connected needs none."""
+    roots = components(links)
+    rows = rest.join(roots, F.col("class") == F.col("id"), "left").select("node", "class", "sketch", F.coalesce("root", "class").alias("root"))
+    sizes = rows.groupBy(F.col("node").alias("n")).agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("n", "size")
+    return _groups(blocked(rows.join(sizes, F.col("node") == F.col("n")).drop("n"), "node", "class", "size", s.small), s).distinct()
 
 
 def confirmed(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -297,11 +312,20 @@ def labelled(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     rows = keep(sketches(docs, s, text, doc_id))
     # a class's sketch is the same in all its rows; `sample` finds one of its texts again
     classes = keep(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("sample"), F.min("sketch").alias("sketch")))
-    groups = keep(candidate_groups(classes.select("class", "sketch"), s))
-    wanted = groups.select("class").distinct().join(classes.select("class", "sample"), "class").select("class", F.col("sample.doc_id").alias("_id"), F.col("sample.text_key").alias("_key"))
     own = docs.select(F.col(doc_id).alias("_own"), F.xxhash64(F.col(text)).alias("_own_key"), F.col(text).alias("text"))
-    texts = own.join(wanted, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id"))).select("class", "text")
-    links = components(confirmed(groups, texts, s)).select(F.col("id").alias("class"), "root")
+
+    def links_in(groups: DataFrame) -> DataFrame:
+        groups = keep(groups)
+        wanted = groups.select("class").distinct().join(classes.select("class", "sample"), "class").select("class", F.col("sample.doc_id").alias("_id"), F.col("sample.text_key").alias("_key"))
+        texts = own.join(wanted, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id"))).select("class", "text")
+        return confirmed(groups, texts, s)
+
+    groups, rest = candidate_groups(classes.select("class", "sketch"), s)
+    links = links_in(groups)
+    if rest is not None:
+        links = keep(links)
+        links = links.unionByName(links_in(open_groups(rest, links, s)))
+    links = components(links).select(F.col("id").alias("class"), "root")
     roots = keep(classes.select("class", "least").join(links, "class", "left").withColumn("root", F.coalesce("root", "class")))
     ids = roots.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))
     labels = roots.join(ids, F.col("root") == F.col("_r")).select(F.col("class").alias("_c"), "root", "component_id")
