@@ -12,6 +12,7 @@ The items go to every task in blocks of at most BLOCK_BYTES, one scan of the tex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,16 +125,21 @@ class Index:
         reach, budget, least = int(self.reach[i]), int(self.budget[i]), int(self.least[i])
         last = int(self.begin[i + 1]) - reach
         places, first = np.unique(o, return_index=True)  # a q-gram of the item counts once
-        done = -1
-        for k, start in enumerate(np.minimum(places, last)):
+        done, found = -1, False
+        # a region's first shared q-gram is at most budget * Q after its start; such starts are tried if no q-gram starts one
+        after = np.concatenate([[self.begin[i]], places[:-1] + 1])
+        early = ((1, k, x) for k, y in enumerate(places) for x in range(max(int(after[k]), int(y) - Q * budget), min(int(y), last + 1)))
+        for turn, k, start in chain(((0, *x) for x in enumerate(np.minimum(places, last))), early):
             start = int(start)
+            if turn and found:
+                return
             if start < done:
                 continue
             if np.searchsorted(places, start + reach - Q, "right") - np.searchsorted(places, start) < least:
                 continue
             span = align(data, int(p[first[k]]) - (int(places[k]) - start), ends, self.data[start : start + reach].tolist(), 2 * budget)
             if span and span[0] <= budget:
-                done = start + reach // 2
+                done, found = start + reach // 2, True
                 yield span[1:]
 
 
