@@ -92,15 +92,6 @@ def test_near_duplicates(docs, empty):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 4, 5, 6, 8, 9, 10, 11]))
 
 
-@pytest.mark.parametrize(("small", "least"), [(256, 121), (8, 90)])
-def test_crowds(spark, small, least):
-    """A crowd of edits of one text, each like that text alone: all found in one node, most if nodes must branch and classes leave."""
-    rows = [(i, " ".join(f"w{j}" if j != i % 60 else f"e{i}" for j in range(60))) for i in range(120)] + [(500, BASE.replace("word", "w"))]
-    s = neardup.Settings(small=small, levels=4, ball_level=2)
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()
-    assert sum(r.component_id == 0 for r in got) >= least
-
-
 def test_line_dedup(docs, empty):
     got = {r.doc_id: r for r in linededup.digest(docs).collect()}
     assert got[9].n_lines == 5 and got[9].dropped == [1, 2, 3] and got[2].dropped == [0] and got[1].dropped == [] and got[8].dropped == []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep
+from tidemark.llm.common import keep, prepare
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -24,12 +24,45 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Links that one task connects at once.
+IN_ONE_TASK = 1 << 20
+
+
+def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vertex of the links u, v with the least vertex of its component: labels fall to the least around, and to the label's own
+    label, until none does."""
+    ids, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = code[: len(u)], code[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def components(links: DataFrame, most_rounds: int = 60, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """links: columns u, v, long. Returns id, root: every linked vertex with the least vertex of its component.
 
-    Nulls and loops are not links. Each round is written to the shared folder; a count and a sum of hashes tell
-    whether anything has changed."""
+    Nulls and loops are not links. Up to in_one_task links are connected by one task. More of them go in rounds over tables: each round is
+    written to the shared folder; a count and a sum of hashes tell whether anything has changed."""
     pairs = keep(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct())
+    if pairs.count() <= in_one_task:
+        prepare(links.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            if parts:
+                u, v = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, connected(u, v))), names=["id", "root"])
+
+        return pairs.repartition(1).mapInArrow(run, "id long, root long")
     seen = None
     for _ in range(most_rounds):
         # a state: links, and a number that changes with them
