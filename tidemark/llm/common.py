@@ -54,6 +54,23 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the table by which rows are told apart before a shuffle; as bytes, what each task holds of it.
+MARK_BITS = 1 << 24
+_PAGE_BITS = 1 << 15
+
+
+def marked_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones: those of a bit that one of these has set, in a table of MARK_BITS bits (2 MB, whatever
+    the number of keys) that goes to every task. An exact join is to follow; what this drops it need not move."""
+    place = F.pmod(F.col(wanted_key), F.lit(MARK_BITS))
+    pages = wanted.select(F.floor(place / _PAGE_BITS).cast("int").alias("_page"), (place % _PAGE_BITS).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    own = F.pmod(F.col(key), F.lit(MARK_BITS))
+    bit = (own % _PAGE_BITS).cast("int")
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(pages), F.floor(own / _PAGE_BITS).cast("int") == F.col("_page"))
+    return met.where(F.getbit(byte, bit % 8) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, Words, keep, mix, prepare, shingles, slices
+from tidemark.llm.common import WORD, Words, keep, marked_rows, mix, prepare, shingles, slices
 from tidemark.llm.components import components, joined_batches, reach, streamed
 
 
@@ -39,8 +39,10 @@ class Settings:
     #: Share of pairs at `similarity` that meet in some tree, if no node of theirs is small before the last level.
     recall: float = 0.99
     width: int = 64
-    small: int = 1024
+    small: int = 4096
     levels: int = 8
+    #: Levels at which larger nodes are compared with their pivots.
+    pivot_levels: int = 2
     #: Words of a group's texts, beyond which its comparison is split.
     group_words: int = 1 << 21
     seed: int = 5
@@ -313,23 +315,36 @@ def split_groups(rows: DataFrame, most: int, words: int) -> DataFrame:
     return each.withColumn("grp", name).drop("g", "_n", "_many", "_long", "_b", "_o")
 
 
+def _earlier_groups(groups: pa.Array, own: int) -> np.ndarray:
+    """groups: of each class the groups that it is in. Which of those below `own` each class is in, a column for each."""
+    owner, value = pc.list_parent_indices(groups).to_numpy(), pc.list_flatten(groups).to_numpy()
+    less = value < own
+    names, column = np.unique(value[less], return_inverse=True)
+    out = np.zeros((len(groups), len(names)), bool)
+    out[owner[less], column] = True
+    return out
+
+
 def exhaustive(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """groups: grp, class, root; texts: class, text. Links u, v (v the least reached) within groups, on the full sets, by searching from
-    each class among those not yet reached; classes of equal root are linked as they are."""
+    each class among those not yet reached; classes of equal root are linked as they are. Two classes that share several groups are compared in the
+    first one alone."""
     percent = round(100 * s.similarity)
+    held = groups.groupBy(F.col("class").alias("_c")).agg(F.collect_set("grp").alias("groups"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in streamed(batches):
             own, root = group.column(1).to_numpy(), group.column(2).to_numpy()
-            parts = [shingles(Words(group.column(3).slice(a, b - a), lower=True), s.shingle) for a, b in slices(group.column(3))]
+            parts = [shingles(Words(group.column(4).slice(a, b - a), lower=True), s.shingle) for a, b in slices(group.column(4))]
+            earlier = _earlier_groups(group.column(3), int(group.column(0)[0].as_py()))
             values, n = np.concatenate([v for v, _ in parts]), np.concatenate([np.diff(at) for _, at in parts])
             at = np.concatenate([[0], np.cumsum(n)])
             known, code = np.unique(values, return_inverse=True)
             marked = np.zeros(len(known), bool)
 
-            def linked(i: int, rest: np.ndarray, code=code, at=at, n=n, marked=marked, root=root) -> np.ndarray:
+            def linked(i: int, rest: np.ndarray, code=code, at=at, n=n, marked=marked, root=root, earlier=earlier) -> np.ndarray:
                 hit = root[rest] == root[i]
-                fit = np.flatnonzero((np.minimum(n[rest], n[i]) >= s.similarity * np.maximum(n[rest], n[i]) - 1e-9) & ~hit)
+                fit = np.flatnonzero((np.minimum(n[rest], n[i]) >= s.similarity * np.maximum(n[rest], n[i]) - 1e-9) & ~hit & ~(earlier[rest] & earlier[i]).any(1))
                 marked[mine := code[at[i] : at[i + 1]]] = True
                 ends = np.cumsum(n[rest[fit]])
                 turns = np.append(np.searchsorted(ends, np.arange(CODES_AT_ONCE, ends[-1], CODES_AT_ONCE)), len(fit)) if len(fit) else []
@@ -351,7 +366,7 @@ def exhaustive(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], names=["u", "v"])
 
-    rows = groups.join(texts, "class").select("grp", "class", "root", "text")
+    rows = groups.join(held, F.col("class") == F.col("_c")).join(texts, "class").select("grp", "class", "root", "groups", "text")
     return rows.repartition("grp").sortWithinPartitions("grp", "class").mapInArrow(run, "u long, v long").distinct()
 
 
@@ -373,33 +388,32 @@ def chunked(large: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 def all_links(classes: DataFrame, fetch, s: Settings) -> DataFrame:
     """classes: class, sketch, nodes, n_shingles. fetch: makes the class and text of a table of classes. All confirmed links u, v."""
-    classes = keep(classes.withColumn("root", F.col("class")))
+    classes = classes.withColumn("root", F.col("class"))
     level, found, links, hot = classes.select(F.explode("nodes").alias("node"), "class"), [], [], None
     for depth in range(1, s.levels + 1):
-        sized = level.groupBy(F.col("node").alias("n")).agg(F.count("*").alias("size"), F.min("class").alias("pivot")).where("size > 1")
+        sized = level.groupBy(F.col("node").alias("n")).agg(F.count("*").alias("size"), F.min("class").alias("pivot"))
         # only rows that have company go on; a hot node is one row of `sized`, and its rows can be split
-        placed = keep(level.join(sized, F.col("node") == F.col("n")).select("node", "class", "size", "pivot"))
-        seen = classes.select("class", "sketch", "root")
-        found.append(keep(_edges(placed.where(F.col("size") <= s.small).join(seen, "class"), s)))
-        large = placed.where(F.col("size") > s.small)
+        met = level.join(sized, F.col("node") == F.col("n"), "left").where(F.coalesce("size", F.lit(0)) > 1)
+        placed = keep(met.select("node", "class", "size", "pivot").join(classes.select("class", "sketch", "root"), "class"))
+        small, large = placed.where(F.col("size") <= s.small).select("node", "class", "sketch", "root"), placed.where(F.col("size") > s.small)
         if large.isEmpty():
+            found.append(keep(_edges(small, s)))
             break
-        large = keep(large)
         if hot is None:  # deeper nodes have classes of these alone
             hot = keep(fetch(large.select("class").distinct()))
-        links.append(keep(confirmed(_pivot_edges(large.join(seen, "class"), s), hot, s).where("alike").select("u", "v")))
-        classes = rooted(classes, union(links))
-        seen = classes.select("class", "sketch", "root")
-        pivots = seen.select(F.col("class").alias("pivot"), F.col("root").alias("pivot_root"))
-        with_roots = large.join(seen, "class").join(pivots, "pivot")
+        if depth <= s.pivot_levels:
+            links.append(keep(confirmed(_pivot_edges(large, s), hot, s).where("alike").select("u", "v")))
+            classes = rooted(classes, union(links))
+        seen = classes.select("class", F.col("root").alias("now"))
+        pivots = seen.select(F.col("class").alias("pivot"), F.col("now").alias("pivot_root"))
+        with_roots = large.join(seen, "class").drop("root").withColumnRenamed("now", "root").join(pivots, "pivot")
         apart = with_roots.groupBy(F.col("node").alias("n")).agg(F.count_if(F.col("root") != F.col("pivot_root")).alias("apart")).where("apart > 0")
-        left = keep(with_roots.join(apart, F.col("node") == F.col("n")).drop("n"))
-        near, left = chunked(left, s)
-        found.append(keep(_edges(near, s)))
+        near, left = chunked(keep(with_roots.join(apart, F.col("node") == F.col("n")).drop("n")), s)
+        here = small.unionByName(near)
         if depth == s.levels:
             rest = left.select(F.col("node").alias("grp"), "class", F.lit(0).alias("n_shingles"), "sketch", "root")
-            found.append(keep(_edges(split_groups(rest, s.small, 1 << 60).withColumnRenamed("grp", "node"), s)))
-            break
+            here = here.unionByName(split_groups(rest, s.small, 1 << 60).select(F.col("grp").alias("node"), "class", "sketch", "root"))
+        found.append(keep(_edges(here, s)))
         if left.isEmpty():
             break
         level = keep(_children(left, s))
@@ -434,7 +448,8 @@ def labelled(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
 
     def fetch(wanted: DataFrame) -> DataFrame:
         keys = wanted.join(classes.select("class", "sample"), "class").select("class", F.col("sample.doc_id").alias("_id"), F.col("sample.text_key").alias("_key"))
-        found = own.join(keys, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id"))).select("class", "text")
+        keys = keep(keys)
+        found = marked_rows(own, "_own_key", keys, "_key").join(keys, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id"))).select("class", "text")
         return found if unique else found.dropDuplicates(["class"])
 
     unique = rows.where("class is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
