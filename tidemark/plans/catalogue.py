@@ -13,7 +13,7 @@ from tidemark.functions import alternative, similarity, text
 from tidemark.operators import blocking, decision, features, learning, validate, vectorize
 from tidemark.plans import oracle, testbed
 from tidemark.sources import io
-from tidemark.workers import prepare
+from tidemark.workers import prepare, written
 
 S1, CANDIDATE = "source1_entity_id", "candidate_entity_id"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,7 +368,7 @@ def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match probabilities of a model trained on the train split, for the pairs of the val split."""
     s1, gallery = testbed.sides(spark, sf_dir)
-    rows = feature_matrix(spark, sf_dir).persist()
+    rows = written(feature_matrix(spark, sf_dir))
     split = features.split_entities(s1.select(F.col("entity_id").alias(S1)), id_column=S1)
     train, val = (rows.join(split.where(F.col("split") == x).select(S1), S1, "left_semi") for x in ("train", "val"))
     model, calibrator, columns = learning.two_phase(train, rounds=5)

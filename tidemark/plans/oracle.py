@@ -197,8 +197,8 @@ ORACLE_SQL: dict[str, str] = {
     "select_pdf": _with(*ALL, PROB, _select("pdf", 0.2)) + " SELECT source1_entity_id, candidate_entity_id, prob FROM sel",
     "exclusivity": _with(*ALL, PROB, _exclusive("ex", "pr"), _exclusive("ey", "pr", "source1_entity_id DESC")) + " SELECT 'smallest' AS tie_break, source1_entity_id, candidate_entity_id, prob FROM ex UNION ALL SELECT 'largest', source1_entity_id, candidate_entity_id, prob FROM ey",
     "macro_f05": _with(*ALL, PROB, _select(), _exclusive("ex", "sel")) + " " + _macro("ex"),
-    "threshold_sweep": _with(*ALL, PROB, *(x for i, t in enumerate((0.3, 0.5, 0.7)) for x in (_select("pdf", t, f"s{i}"), _exclusive(f"x{i}", f"s{i}")))) + " " + " UNION ALL ".join(f"SELECT threshold, macro_f05 FROM ({_macro(f'x{i}', f'{t}::DOUBLE AS threshold,')})" for i, t in enumerate((0.3, 0.5, 0.7))),
-    "decision_grid": _with(*ALL, PROB, *(x for i, (f, t) in enumerate((("expected", 0.0), ("expected", 0.4), ("pdf", 0.0), ("pdf", 0.4))) for x in (_select(f, t, f"s{i}"), _exclusive(f"x{i}", f"s{i}")))) + " " + " UNION ALL ".join(f"SELECT '{f}' AS formula, {t}::DOUBLE AS min_prob, {e == 'x'} AS exclusivity, macro_f05 FROM ({_macro(f'{e}{i}')})" for i, (f, t) in enumerate((("expected", 0.0), ("expected", 0.4), ("pdf", 0.0), ("pdf", 0.4))) for e in "xs"),
+    "threshold_sweep": _with(*ALL, PROB, *(x for i, t in enumerate((0.3, 0.5, 0.7)) for x in (_select("pdf", t, f"sel{i}"), _exclusive(f"x{i}", f"sel{i}")))) + " " + " UNION ALL ".join(f"SELECT threshold, macro_f05 FROM ({_macro(f'x{i}', f'{t}::DOUBLE AS threshold,')})" for i, t in enumerate((0.3, 0.5, 0.7))),
+    "decision_grid": _with(*ALL, PROB, *(x for i, (f, t) in enumerate((("expected", 0.0), ("expected", 0.4), ("pdf", 0.0), ("pdf", 0.4))) for x in (_select(f, t, f"sel{i}"), _exclusive(f"x{i}", f"sel{i}")))) + " " + " UNION ALL ".join(f"SELECT '{f}' AS formula, {t}::DOUBLE AS min_prob, {e == 'x'} AS exclusivity, macro_f05 FROM ({_macro(f'{e}{i}')})" for i, (f, t) in enumerate((("expected", 0.0), ("expected", 0.4), ("pdf", 0.0), ("pdf", 0.4))) for e in ("x", "sel")),
     "reliability_bins": f"SELECT least(floor(prob * 10), 9)::INT AS bin, round(avg(prob), 6) AS mean_pred, round(avg(label), 6) AS positive_rate, count(*) AS n FROM {_SCORED} GROUP BY 1",
     "roc_auc": f"SELECT round((sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc, sum(label)::BIGINT AS n_pos, sum(1 - label)::BIGINT AS n_neg FROM (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2 r FROM {_SCORED})",
     "dedup_keep_first": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) r FROM orders) WHERE r = 1",
@@ -216,6 +216,4 @@ ORACLE_SQL: dict[str, str] = {
     "truth_pairs": _with(BED) + ", l AS (SELECT source1_entity_id, string_agg(candidate_entity_id, ',') m FROM truth GROUP BY 1) SELECT source1_entity_id, unnest(string_split(m, ',')) AS candidate_entity_id FROM l",
     "city_slice": _with(BED, NORM) + " SELECT country, count(*) AS n FROM norm WHERE regexp_matches(address_norm, '\\b(?:the|der|les)\\b') GROUP BY 1",
     "missing_records": _with(*ALL) + " SELECT source1_entity_id, candidate_entity_id FROM cand WHERE candidate_entity_id NOT IN (SELECT entity_id FROM gal WHERE source = 'S2')",
-    "alt_block_keys": _with(BED) + " SELECT count(*) > 0 AS some FROM bed",
 }
-del ORACLE_SQL["alt_block_keys"]
