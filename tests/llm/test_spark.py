@@ -83,6 +83,22 @@ def test_quality_rules(docs, empty):
     assert cleaned.columns == docs.columns and {r.doc_id for r in cleaned.collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_frequent_lines_go(spark):
+    """A line in over max_docs texts of a host goes from all but the first; a document that it leaves with too little is rejected."""
+    rows = [(i, f"menu home about contact\nown text number {i} " + " ".join(f"w{i}x{k}" for k in range(20 if i else 2)), "h") for i in range(5)]
+    rows += [(10, "menu home about contact\n" + " ".join(f"z{k}" for k in range(12)), "other"), (11, "Menu  home about CONTACT\n" * 1 + "menu home about contact " * 1 + "a b c d e f g", "h")]
+    rows += [(12, "menu home about contact\nmenu home about contact\nx y z q", "h")]
+    got = {r.doc_id: (r.lost_words, r.base_failed, r.kept) for r in linefreq.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=3, least_left=0.5).collect()}
+    assert got[0][0] == 0 and all(got[i] == (4, False, True) for i in (1, 2, 3, 4)) and got[10][0] == 0 and got[12] == (8, False, False)
+    cleaned = {r.doc_id: r.text for r in linefreq.clean(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, _row int"), max_docs=3, least_left=0.5).collect()}
+    assert 12 not in cleaned and cleaned[1].startswith("own text") and cleaned[10].startswith("menu")
+
+
+def test_mixing_twice(spark, docs):
+    again = mixing.emit(mixing.emit(docs.withColumn("_row", F.lit(3))))
+    assert again.columns == [*docs.columns, "_row", "copy_no"] and again.count() > 0
+
+
 def test_near_duplicates(docs, empty):
     got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
     assert got[2].component_id == got[1].component_id == got[3].component_id == got[None].component_id == 1

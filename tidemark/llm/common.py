@@ -73,6 +73,14 @@ def marked_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -
     return met.where(F.getbit(byte, bit % 8) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

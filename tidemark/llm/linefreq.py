@@ -3,7 +3,8 @@
 Lines are normalised (lower case, white space runs as one space), hashed, and counted per host over distinct
 documents. A line that more than `max_docs` of them hold is removed from all but the first of them by id, and a document
 that keeps less than `least_left` of its words is rejected, as is one that fails the base rules. Documents of equal
-text count as one: copies are the concern of near-duplicate removal, and boilerplate is what differing documents share.
+text count as one, however many ids they have: copies are the concern of near-duplicate removal, and boilerplate is what differing
+documents share. Where all documents with a line have a null id, none is the first, and the line stays.
 
 The line table has ids, hashes and counts, no text. Counts are partly summed before each exchange, and the join
 of lines with the frequent ones is a plain equi-join, so that adaptive execution can split a hot line's rows.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, unused
 
 SYMBOLS = "#*$%&|<>"
 _GAP = r"[\\x20\\x09-\\x0D]+"  # as in a SQL string literal
@@ -54,7 +55,7 @@ def content_key(text: str, host: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit("")), F.col(host).isNull())
 
 
-def frequent_line_places(docs: DataFrame, max_docs: int = 100, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def frequent_line_places(docs: DataFrame, max_docs: int = 10, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """For each document that loses lines: _id, _key, places (of the lost lines, from 0) and lost_words."""
     rows = docs.select(F.col(doc_id).alias("_id"), content_key(text, host).alias("_key"), F.xxhash64(F.col(text)).alias("_text"), F.col(host).cast("string").alias("_host"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_place", "_line"))
     words = F.regexp_count(F.col("_line"), F.lit(WORD))
@@ -67,7 +68,7 @@ def frequent_line_places(docs: DataFrame, max_docs: int = 100, text: str = "text
     return once.groupBy("_id", "_key").agg(F.collect_set("_place").alias("places"), F.sum("_words").cast("long").alias("lost_words"))
 
 
-def judge(docs: DataFrame, max_docs: int = 100, least_left: float = 0.3, text: str = "text", host: str = "source", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = 10, least_left: float = 0.3, text: str = "text", host: str = "source", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, the five measures, base_failed, lost_words, kept, places (null: no line lost)
     and the columns `carry`.
 
@@ -85,7 +86,10 @@ def judge(docs: DataFrame, max_docs: int = 100, least_left: float = 0.3, text: s
 
 
 def clean(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of docs that are kept, their frequent lines removed; columns and their order stay."""
-    judged = judge(docs.select(F.struct("*").alias("_row"), *docs.columns), text=text, carry=("_row",), **how).where("kept")
-    left = F.expr(f"if(places is null, _row.`{text}`, array_join(filter(split(_row.`{text}`, '\\\\n', -1), (l, i) -> not array_contains(places, i)), '\\n'))")
-    return judged.select(*[left.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """The rows of docs that are kept, their frequent lines removed; columns, whatever their names, and their order stay. Nulls, empty texts, ties
+    and repeated rows are as in judge(): a text without words goes, repeated rows stay or go together. An empty table stays empty."""
+    row = unused("_row", docs.columns)
+    judged = judge(docs.select(F.struct("*").alias(row), *docs.columns), text=text, carry=(row,), **how).where("kept")
+    own = F.col(row)[text]
+    left = F.when(F.col("places").isNull(), own).otherwise(F.array_join(F.filter(F.split(own, "\n", -1), lambda _, i: ~F.array_contains("places", i)), "\n"))
+    return judged.select(*[left.alias(c) if c == text else F.col(row)[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, keep
+from tidemark.llm.common import WORD, keep, unused
 
 #: Sources beyond this number are joined by a shuffle; up to it their table goes to every task.
 FEW_SOURCES = 10_000
@@ -20,6 +20,12 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw(seed: int, doc_id: str, text: str) -> Column:
+    """A number from 0 to 1 by the hash of the seed, the id and the text; null counts as empty."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 13), 16, 10).cast("long") * F.lit(2.0**-52)
+
+
 def numbered(sources: DataFrame, by: str) -> DataFrame:
     """Adds place: 0 for the smallest value by code point, and so on, null last. Only the number of rows in each of
     the sorted parts comes to the driver, so that no task has all sources."""
@@ -59,12 +65,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
     A null text has size 0, and null is a source of its own, the last by order. A source without words has target 0 and
     its documents are not taken. The extra copy hangs on the hash of id, text and seed alone: repeated rows share it, and reruns agree. An
     empty table gives no rows. The sum of a source is made of partial sums, so that a hot source costs one row a task."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_draw"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), draw(seed, doc_id, text).alias("_draw"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     sizes = docs.select(F.col(source).alias("source"), n_words(text).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     table = keep(targets(sizes, weights, total_share, most).select(F.col("source").alias("_s"), "source_size", "target"))
     few = table.count() <= FEW_SOURCES
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    extra = (F.shiftrightunsigned("_draw", 11) * F.lit(2.0**-53)) < F.col("_rate") - F.floor("_rate")
+    extra = F.col("_draw") < F.col("_rate") - F.floor("_rate")
     return (
         rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("_rate", rate)
@@ -74,7 +80,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() says, with copy_no from 1."""
-    plain = docs.select(F.struct("*").alias("_row"), *docs.columns)
-    mixed = mix(plain, carry=("_row",), **how)
-    return mixed.where("copies > 0").select("_row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
+    """The mix itself: each row of docs as often as mix() says, with copy_no from 1, in place of a column of that name if there is one. Nulls, empty
+    texts and ties are as in mix(); a document without words is not taken, repeated rows are emitted each, an empty table gives no rows."""
+    row = unused("_row", docs.columns)
+    plain = docs.select(F.struct("*").alias(row), *docs.columns)
+    mixed = mix(plain, carry=(row,), **how)
+    kept = [c for c in docs.columns if c.lower() != "copy_no"]
+    return mixed.where("copies > 0").select(*[F.col(row)[c].alias(c) for c in kept], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
