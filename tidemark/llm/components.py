@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,16 @@ def blocked(rows: DataFrame, group: str, member: str, size: str, most: int) -> D
     return each.withColumn(group, name).drop("_n", "_b", "_o")
 
 
+def earlier_groups(groups: pa.Array, own: int) -> np.ndarray:
+    """groups: of each class the groups that it is in. Which of those below `own` each class is in, a column for each."""
+    owner, value = pc.list_parent_indices(groups).to_numpy(), pc.list_flatten(groups).to_numpy()
+    less = value < own
+    names, column = np.unique(value[less], return_inverse=True)
+    out = np.zeros((len(groups), len(names)), bool)
+    out[owner[less], column] = True
+    return out
+
+
 def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows in pieces about as large as they come, cut where the first column changes."""
     held: list[pa.RecordBatch] = []

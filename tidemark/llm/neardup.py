@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import WORD, Words, keep, marked_rows, mix, prepare, shingles, slices
-from tidemark.llm.components import components, joined_batches, reach, streamed
+from tidemark.llm.components import components, earlier_groups, joined_batches, reach, streamed
 
 
 @dataclass(frozen=True)
@@ -315,16 +315,6 @@ def split_groups(rows: DataFrame, most: int, words: int) -> DataFrame:
     return each.withColumn("grp", name).drop("g", "_n", "_many", "_long", "_b", "_o")
 
 
-def _earlier_groups(groups: pa.Array, own: int) -> np.ndarray:
-    """groups: of each class the groups that it is in. Which of those below `own` each class is in, a column for each."""
-    owner, value = pc.list_parent_indices(groups).to_numpy(), pc.list_flatten(groups).to_numpy()
-    less = value < own
-    names, column = np.unique(value[less], return_inverse=True)
-    out = np.zeros((len(groups), len(names)), bool)
-    out[owner[less], column] = True
-    return out
-
-
 def exhaustive(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """groups: grp, class, root; texts: class, text. Links u, v (v the least reached) within groups, on the full sets, by searching from
     each class among those not yet reached; classes of equal root are linked as they are. Two classes that share several groups are compared in the
@@ -336,7 +326,7 @@ def exhaustive(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         for group in streamed(batches):
             own, root = group.column(1).to_numpy(), group.column(2).to_numpy()
             parts = [shingles(Words(group.column(4).slice(a, b - a), lower=True), s.shingle) for a, b in slices(group.column(4))]
-            earlier = _earlier_groups(group.column(3), int(group.column(0)[0].as_py()))
+            earlier = earlier_groups(group.column(3), int(group.column(0)[0].as_py()))
             values, n = np.concatenate([v for v, _ in parts]), np.concatenate([np.diff(at) for _, at in parts])
             at = np.concatenate([[0], np.cumsum(n)])
             known, code = np.unique(values, return_inverse=True)
