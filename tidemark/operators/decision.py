@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DecisionConfig
 from tidemark.functions.similarity import prior_shift
+from tidemark.workers import written
 
 S1, CANDIDATE = "source1_entity_id", "candidate_entity_id"
 
@@ -76,16 +79,21 @@ def macro_f05(selected: DataFrame, truth: DataFrame, entities: DataFrame) -> Dat
     return entity_scores(selected, truth, entities).agg(F.count("*").alias("entities"), F.round(F.avg("f05"), 6).alias("macro_f05"))
 
 
-def threshold_sweep(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds: tuple[float, ...], formula: str = "pdf", prob: str = "prob") -> DataFrame:
-    """macro F0.5 at each floor, all in one plan: rows are repeated for each floor that they pass, and the floor joins every key."""
+def threshold_scores(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds: tuple[float, ...], formula: str = "pdf", prob: str = "prob") -> DataFrame:
+    """threshold, source1_entity_id, tp, fp, fn, f05 at each floor, all in one plan: rows are repeated for each floor that they pass,
+    and the floor joins every key."""
     spark = pairs.sparkSession
     table = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
     each = pairs.join(table, F.col(prob) >= F.col("threshold"))
     tagged = each.withColumns({"_s": F.col(S1), "_c": F.col(CANDIDATE), S1: F.concat_ws("\u0001", F.col("threshold").cast("string"), S1), CANDIDATE: F.concat_ws("\u0001", F.col("threshold").cast("string"), CANDIDATE)})
     chosen = enforce_exclusivity(select_matches(tagged, prob, formula), prob).select("threshold", F.col("_s").alias(S1), F.col("_c").alias(CANDIDATE))
     wanted = entities.select(S1).distinct().crossJoin(table)
-    scores = entity_scores(chosen, truth, wanted, ("threshold",))
-    return scores.groupBy("threshold").agg(F.round(F.avg("f05"), 6).alias("macro_f05"))
+    return entity_scores(chosen, truth, wanted, ("threshold",))
+
+
+def threshold_sweep(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds: tuple[float, ...], formula: str = "pdf", prob: str = "prob") -> DataFrame:
+    """macro F0.5 at each floor."""
+    return threshold_scores(pairs, truth, entities, thresholds, formula, prob).groupBy("threshold").agg(F.round(F.avg("f05"), 6).alias("macro_f05"))
 
 
 def decision_grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, formulas: tuple[str, ...] = ("expected", "pdf"), floors: tuple[float, ...] = (0.0, 0.3, 0.5), exclusive: tuple[bool, ...] = (True, False), prob: str = "prob") -> DataFrame:
@@ -111,3 +119,55 @@ def candidate_pairs(candidates: DataFrame, spine: DataFrame, score: str = "block
     ordered = F.array_sort(F.collect_set(F.struct((-F.col(score)).alias("s"), F.col(CANDIDATE).alias("c"))))
     lists = candidates.groupBy(S1).agg(F.array_join(F.transform(ordered, lambda x: x["c"]), ",").alias("candidate_entity_ids"))
     return spine.select(F.col("entity_id").alias(S1)).join(lists, S1, "left").fillna("", ["candidate_entity_ids"])
+
+
+def summary(selected: DataFrame, spine: DataFrame) -> DataFrame:
+    """entities, matches, matches_per_entity, singletons (entities without a match), singleton_rate."""
+    each = spine.select(F.col("entity_id").alias(S1)).distinct().join(selected.groupBy(S1).agg(F.countDistinct(CANDIDATE).alias("n")), S1, "left").fillna(0, ["n"])
+    return each.agg(F.count("*").alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.round(F.avg("n"), 6).alias("matches_per_entity"), F.count_if(F.col("n") == 0).alias("singletons"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("singleton_rate"))
+
+
+def variant(name: str) -> DecisionConfig:
+    """Settings by name, as in alpha0.7_floor0.05_pdf; what is not named is as by default. An unknown part is an error."""
+    found = re.fullmatch(r"(?:alpha(?P<alpha>\d+(?:\.\d+)?))?(?:(?:^|_)floor(?P<floor>\d+(?:\.\d+)?))?(?:(?:^|_)(?P<pdf>pdf))?", name)
+    if found is None:
+        raise ValueError(f"no variant: {name}")
+    return DecisionConfig(formula="pdf" if found["pdf"] else "expected", min_prob=float(found["floor"] or 0), prior_shift=float(found["alpha"] or 1))
+
+
+def variants(pairs: DataFrame, spine: DataFrame, names: tuple[str, ...], prob: str = "prob") -> DataFrame:
+    """A row for each variant: its settings and summary. Names are a handful, each a plan of its own in a union."""
+    out = None
+    for name in names:
+        c = variant(name)
+        row = summary(decide(pairs, c, prob), spine).select(F.lit(name).alias("variant"), F.lit(c.prior_shift).alias("alpha"), F.lit(c.min_prob).alias("floor"), F.lit(c.formula).alias("formula"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def tune(pairs: DataFrame, truth: DataFrame, entities: DataFrame, calibrations: dict[str, str], formulas: tuple[str, ...] = ("expected", "pdf"), floors: tuple[float, ...] = (0.0, 0.02, 0.05, 0.1)) -> DataFrame:
+    """calibration, formula, min_prob, vetoes, exclusivity, part (all, or a country), macro_f05. pairs: features, and a probability column for
+    each of calibrations (name: column); entities: source1_entity_id, country. Vetoes are lifted at the first formula and floor alone, and so
+    is exclusivity, of the first calibration. Settings of one formula and exclusivity are one plan, whose keys the setting joins."""
+    columns = {}
+    for name, column in calibrations.items():
+        pairs = apply_hard_vetoes(pairs.withColumn(f"_v_{name}", F.col(column)), f"_v_{name}")
+        columns |= {(name, True): f"_v_{name}", (name, False): column}
+    first = next(iter(calibrations))
+    settings = [(c, f, t, v, True) for c in calibrations for f in formulas for t in floors for v in (True, False) if v or (f, t) == (formulas[0], floors[0])]
+    settings.append((first, formulas[0], floors[0], True, False))
+    pairs = written(pairs.select(S1, CANDIDATE, *dict.fromkeys(columns.values())))
+    spine = entities.select(S1, F.coalesce("country", F.lit("")).alias("country")).dropDuplicates([S1])
+    chosen = None
+    for formula, exclusive in dict.fromkeys((f, e) for _, f, _, _, e in settings):
+        mine = [(i, s) for i, s in enumerate(settings) if (s[1], s[4]) == (formula, exclusive)]
+        each = F.array(*[F.struct(F.lit(i).alias("setting"), F.col(columns[s[0], s[3]]).alias("prob"), F.lit(float(s[2])).alias("floor")) for i, s in mine])
+        rows = pairs.select(F.col(S1).alias("_s"), F.col(CANDIDATE).alias("_c"), F.explode(each).alias("e")).select("_s", "_c", "e.*").where("prob >= floor")
+        rows = rows.withColumns({name: F.concat_ws("\u0001", F.col("setting").cast("string"), of) for name, of in ((S1, "_s"), (CANDIDATE, "_c"))})
+        got = select_matches(rows, formula=formula)
+        got = (enforce_exclusivity(got) if exclusive else got).select("setting", F.col("_s").alias(S1), F.col("_c").alias(CANDIDATE))
+        chosen = got if chosen is None else chosen.unionByName(got)
+    table = F.broadcast(pairs.sparkSession.createDataFrame([(i, *map(str, s[:2]), float(s[2]), *s[3:]) for i, s in enumerate(settings)], "setting int, calibration string, formula string, min_prob double, vetoes boolean, exclusivity boolean"))
+    scores = entity_scores(chosen, truth, spine.select(S1).crossJoin(table.select("setting")), ("setting",)).join(spine, S1)
+    means = scores.select("setting", "f05", F.explode(F.array(F.lit("all"), F.col("country"))).alias("part")).groupBy("setting", "part").agg(F.round(F.avg("f05"), 6).alias("macro_f05"))
+    return means.join(table, "setting").select("calibration", "formula", "min_prob", "vetoes", "exclusivity", "part", "macro_f05")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DecisionConfig
 from tidemark.functions import alternative, similarity, text
-from tidemark.operators import blocking, decision, features, learning, validate, vectorize
+from tidemark.operators import blocking, decision, features, learning, pruner, validate, vectorize
 from tidemark.plans import oracle, testbed
 from tidemark.sources import io
 from tidemark.workers import prepare, written
@@ -375,6 +375,42 @@ def gbt_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predict(val, model, columns, calibrator).select(S1, CANDIDATE, "label", F.round("prob", 6).alias("prob"))
 
 
+@query
+def pruner_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of the learned re-ranking that need no edit distance, for the best 80 pairs of each S1 record."""
+    s1, gallery = testbed.sides(spark, sf_dir)
+    pool = blocking.best(blocking.scored_pairs(s1, gallery, keys()), 80)
+    whole = ("n_key_legs", "f_exact", "f_addr", "f_pin", "f_bidir", "f_word", "f_char", "house_eq", "house_conflict", "name_ntok_s1", "name_ntok_g", "addr_ntok_g", "g_rank")
+    parts = [six(f"pf_{c}").alias(f"pf_{c}") for c in ("word_cos", "char_cos", "g_best_ratio")]
+    return pruner.pruner_features(pool, s1, gallery).select("country", "s1", "g", *[F.col(f"pf_{c}") for c in whole], *parts)
+
+
+@query
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1 = testbed.sides(spark, sf_dir)[0].select(F.col("entity_id").alias(S1), "country")
+    return learning.evaluate(scored(spark, sf_dir), testbed.truth(spark, sf_dir), s1)
+
+
+@query
+def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.summary(decision.decide(scored(spark, sf_dir)), testbed.sides(spark, sf_dir)[0])
+
+
+@query
+def decision_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.variants(written(scored(spark, sf_dir)), testbed.sides(spark, sf_dir)[0], ("alpha1.0", "alpha0.53", "alpha0.7_floor0.3_pdf"))
+
+
+@query
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.label_summary(labelled_scores(spark, sf_dir))
+
+
+@query
+def query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruner.query_sample(testbed.sides(spark, sf_dir)[0].select("entity_id", "country"), 200)
+
+
 @query
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))

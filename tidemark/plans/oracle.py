@@ -121,6 +121,14 @@ def _macro(source: str, extra: str = "") -> str:
   LEFT JOIN (SELECT DISTINCT source1_entity_id s, candidate_entity_id c FROM {source}) p ON p.s = u.s AND p.c = u.c LEFT JOIN (SELECT DISTINCT source1_entity_id s, candidate_entity_id c FROM truth) t ON t.s = u.s AND t.c = u.c GROUP BY 1)"""
 
 
+_VARIANTS = (("alpha1.0", 1.0, 0.0, "expected"), ("alpha0.53", 0.53, 0.0, "expected"), ("alpha0.7_floor0.3_pdf", 0.7, 0.3, "pdf"))
+
+
+def _summary(source: str) -> str:
+    return f"""SELECT count(*) AS entities, coalesce(sum(n), 0)::BIGINT AS matches, round(avg(n), 6) AS matches_per_entity, count(CASE WHEN n = 0 THEN 1 END) AS singletons, round(avg((n = 0)::INT), 6) AS singleton_rate
+  FROM (SELECT e.entity_id, count(DISTINCT candidate_entity_id) n FROM s1 e LEFT JOIN {source} ON source1_entity_id = e.entity_id GROUP BY 1)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
@@ -212,6 +220,16 @@ ORACLE_SQL: dict[str, str] = {
   cnt AS (SELECT token, replacement, count(*) n FROM best GROUP BY ALL), md AS (SELECT token, arg_max(replacement, (n, replacement)) replacement, max(n) n FROM cnt GROUP BY 1)
   SELECT token, replacement, n, round(n / total, 6) AS share FROM md JOIN tot USING (token) WHERE n >= 1 AND round(n / total, 6) >= 0.6""",
     "validate_output": _with(BED, NORM) + " SELECT * FROM (VALUES ('empty_file', 0::BIGINT), ('comma_header', 0), ('header', 0), ('malformed_row', 1), ('repeated_s1', 1), ('repeated_id', 1), ('self_match', 1), ('bad_prefix', 1), ('unexpected_s1', 1), ('unknown_id', 2)) t(rule, violations) UNION ALL SELECT 'missing_s1', count(*) FROM s1 WHERE CAST(substring(entity_id, 4) AS BIGINT) % 10 = 3",
+    "pruner_features": _with(BED, NORM, KEYS, WORD, CHAR, CAND) + f""", pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, g) r FROM sc) WHERE r <= 80),
+  pf AS (SELECT p.*, (legs & 8 > 0)::DOUBLE e, (legs & 4 > 0)::DOUBLE d, (legs & 16 > 0)::DOUBLE z, {_HOUSE.format(t='a')} ha, {_HOUSE.format(t='b')} hb, a.name_norm an, b.name_norm bn, b.address_norm ba FROM pool p JOIN norm a ON a.entity_id = p.s1 JOIN norm b ON b.entity_id = p.g),
+  ph AS (SELECT *, round(word_cos + char_cos + 0.25 * (e + d + z), 9) h FROM pf)
+  SELECT country, s1, g, e + d + z AS pf_n_key_legs, e AS pf_f_exact, d AS pf_f_addr, z AS pf_f_pin, (legs & 128 > 0)::DOUBLE AS pf_f_bidir, (legs & 1 > 0)::DOUBLE AS pf_f_word, (legs & 2 > 0)::DOUBLE AS pf_f_char,
+  (ha = hb AND ha <> '')::DOUBLE AS pf_house_eq, (ha <> hb AND ha <> '' AND hb <> '')::DOUBLE AS pf_house_conflict, len(string_split(an, ' '))::DOUBLE AS pf_name_ntok_s1, len(string_split(bn, ' '))::DOUBLE AS pf_name_ntok_g,
+  len(string_split(ba, ' '))::DOUBLE AS pf_addr_ntok_g, (rank() OVER (PARTITION BY country, g ORDER BY h DESC))::DOUBLE AS pf_g_rank, round(word_cos + 1e-10, 6) AS pf_word_cos, round(char_cos + 1e-10, 6) AS pf_char_cos,
+  round(CASE WHEN max(h) OVER (PARTITION BY country, g) > 0 THEN h / max(h) OVER (PARTITION BY country, g) ELSE 1.0 END + 1e-10, 6) AS pf_g_best_ratio FROM ph""",
+    "decision_summary": _with(*ALL, PROB, _select(), _exclusive("ex", "sel")) + " " + _summary("ex"),
+    "decision_variants": _with(*ALL, PROB, *(x for i, (_, a, t, f) in enumerate(_VARIANTS) for x in (f" v{i} AS (SELECT * REPLACE ({a} * prob / ({a} * prob + 1 - prob) AS prob) FROM pr)" if a != 1.0 else f" v{i} AS (SELECT * FROM pr)", _select(f, t, f"sel{i}", f"v{i}"), _exclusive(f"x{i}", f"sel{i}")))) + " " + " UNION ALL ".join(f"SELECT '{n}' AS variant, {a}::DOUBLE AS alpha, {t}::DOUBLE AS floor, '{f}' AS formula, * FROM ({_summary(f'x{i}')})" for i, (n, a, t, f) in enumerate(_VARIANTS)),
+    "label_summary": f"SELECT count(*) AS n, coalesce(sum(label), 0)::BIGINT AS positives, round(avg(label), 6) AS positive_rate FROM {_SCORED}",
     "raw_tsv_scan": _with(BED) + " SELECT entity_id, business_name, business_address, country FROM bed",
     "truth_pairs": _with(BED) + ", l AS (SELECT source1_entity_id, string_agg(candidate_entity_id, ',') m FROM truth GROUP BY 1) SELECT source1_entity_id, unnest(string_split(m, ',')) AS candidate_entity_id FROM l",
     "city_slice": _with(BED, NORM) + " SELECT country, count(*) AS n FROM norm WHERE regexp_matches(address_norm, '\\b(?:the|der|les)\\b') GROUP BY 1",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +55,37 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, lineSep=None).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("p", "value")).select((F.col("p") + 1).alias("line_no"), "value")
 
 
-def read_model(path: str, fallback: str | None = None) -> GBTClassificationModel:
-    """The model of the last phase, or of the one before where that is absent."""
-    try:
-        return GBTClassificationModel.load(path)
-    except Exception:
-        if fallback is None:
-            raise
-        return GBTClassificationModel.load(fallback)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Through the path's own file system, so that a remote store is asked and not the driver's disk."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def dataset_folder(spark: SparkSession, roots: tuple[str, ...]) -> str:
+    """The first of roots that has a folder train; the first of all where none has."""
+    return next((r for r in roots if exists(spark, f"{r}/train")), roots[0])
+
+
+def read_model(spark: SparkSession, path: str, fallback: str | None = None) -> GBTClassificationModel:
+    """The model of the last phase, or of the one before where there is none. A model that can't be read is an error."""
+    return GBTClassificationModel.load(path if fallback is None or exists(spark, path) else fallback)
+
+
+def read_calibrator(spark: SparkSession, path: str) -> IsotonicRegressionModel | None:
+    return IsotonicRegressionModel.load(path) if exists(spark, path) else None
+
+
+def write_model(model: GBTClassificationModel | IsotonicRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def write_summary(spark: SparkSession, values: dict, path: str) -> None:
+    """One JSON object, as a file in the folder."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
 
 
 def write_records(df: DataFrame, path: str, by_country: bool = False) -> None:
