@@ -48,11 +48,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: its lineage ends there, and lost executors cost no recomputation."""
+    """Writes df to the shared folder and reads it again: its lineage ends there, and lost executors cost no recomputation. Once it is
+    written, what was shuffled for it is of no more use and is removed, where the session knows that setting."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
