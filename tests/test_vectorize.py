@@ -82,3 +82,24 @@ def test_a_cell_forgets_no_pair_when_it_prunes(monkeypatch):
     cos = np.round(x @ y.T, 9)
     want = {(f"{i:03}", f"{j:03}") for i in range(10) for j in np.lexsort((np.arange(80), -cos[i]))[:3]}
     assert got == want
+
+
+def test_nearest_rows_equal_brute_force(spark, monkeypatch):
+    """Every block and tie; only the best of a block leave a task, where each product's places did before."""
+    import numpy as np
+
+    monkeypatch.setattr(vectorize, "NEAR_BLOCK", 3)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (1300, 4)).astype(float) + [0.5, 0, 0, 0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(5000, []), (5001, None)], "id long, v array<double>")
+    out = vectorize.array_top(df, "id", "v", 4, vectorize.F.col("id") % 100 == 0)
+    assert "Generate posexplode" not in out._jdf.queryExecution().toString()
+    got = {(r.query_id, r["rank"]): (r.near_id, r.cos) for r in out.collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 6)
+    want = {}
+    for q in range(0, 1300, 100):
+        for rank, j in enumerate([j for j in np.lexsort((np.arange(1300), -cos[q])) if j != q][:4], 1):
+            want[q, rank] = (j, cos[q, j])
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
