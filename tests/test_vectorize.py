@@ -103,3 +103,20 @@ def test_nearest_rows_equal_brute_force(spark, monkeypatch):
             want[q, rank] = (j, cos[q, j])
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_products_of_given_pairs(spark, monkeypatch):
+    """In blocks, and in pieces; no row for each term of a pair is dealt out."""
+    from tidemark.operators import features
+
+    monkeypatch.setattr(features, "PAIR_BLOCK", 7)
+    rng = random.Random(4)
+    words = [f"t{i}" for i in range(12)]
+    vec = {f"S{s}-{i}": {t: rng.random() for t in rng.sample(words, rng.randrange(1, 5))} for s in (1, 2) for i in range(40)}
+    pairs = {(f"S1-{rng.randrange(42)}", f"S2-{rng.randrange(42)}") for _ in range(400)}
+    df = spark.createDataFrame([(e, t, w) for e, x in vec.items() for t, w in x.items()], "entity_id string, term string, w double")
+    out = features.pair_dot(spark.createDataFrame(sorted(pairs), "source1_entity_id string, candidate_entity_id string"), df, "cos")
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    got = out.collect()
+    want = {(a, b): sum(w * vec[b][t] for t, w in vec[a].items() if t in vec[b]) for a, b in pairs if a in vec and b in vec and set(vec[a]) & set(vec[b])}
+    assert len(got) == len(want) and {(r[0], r[1]): r.cos for r in got} == pytest.approx(want, abs=2e-9)
