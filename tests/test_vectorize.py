@@ -120,3 +120,27 @@ def test_products_of_given_pairs(spark, monkeypatch):
     got = out.collect()
     want = {(a, b): sum(w * vec[b][t] for t, w in vec[a].items() if t in vec[b]) for a, b in pairs if a in vec and b in vec and set(vec[a]) & set(vec[b])}
     assert len(got) == len(want) and {(r[0], r[1]): r.cos for r in got} == pytest.approx(want, abs=2e-9)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_done_before_the_gallery_is_copied(spark):
+    """What is shuffled to make vectors of either side is over once blocks are dealt."""
+    rng = random.Random(2)
+    words = [f"t{i}" for i in range(9)]
+    a, b = vectors(rng, "S1", 20, words), vectors(rng, "S2", 20, words)
+    plan = plan_of(vectorize.met([(frame(spark, a), frame(spark, b))], [(0.1, 4)]))
+    assert "MapInArrow" in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
+def test_pairs_are_found_before_they_are_ranked(spark):
+    from tidemark.functions.text import normalize_source
+    from tidemark.operators import blocking
+
+    rows = [(f"{s}-{i}", f"alpha beta {i}", f"{i} high street 12345", "en") for s in ("S1", "S2") for i in range(5)]
+    both = normalize_source(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"), "latin")
+    got = blocking.generate_candidates(both.where("entity_id like 'S1-%'"), both.where("entity_id like 'S2-%'"), keys=[k for k in blocking.key_columns((blocking.EXACT,))])
+    assert "MapInArrow" not in plan_of(got)
+    assert {(r.source1_entity_id, r.candidate_entity_id) for r in got.collect()} >= {(f"S1-{i}", f"S2-{i}") for i in range(5)}
