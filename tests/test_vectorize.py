@@ -144,3 +144,67 @@ def test_pairs_are_found_before_they_are_ranked(spark):
     got = blocking.generate_candidates(both.where("entity_id like 'S1-%'"), both.where("entity_id like 'S2-%'"), keys=[k for k in blocking.key_columns((blocking.EXACT,))])
     assert "MapInArrow" not in plan_of(got)
     assert {(r.source1_entity_id, r.candidate_entity_id) for r in got.collect()} >= {(f"S1-{i}", f"S2-{i}") for i in range(5)}
+
+
+def test_words_of_many_records_count(spark, tmp_path):
+    """Over 1000 gallery records, a word that a third of them have, and pairs with none but such words in common."""
+    import math
+
+    from tidemark.plans import catalogue, testbed
+
+    rng = random.Random(8)
+    ids = [*range(0, 6000, 5), *range(1, 500, 5)]  # of texts without a copy, multiples of 5 make the gallery
+    texts = [f"widely widely widely widely z{i}" if i < 100 else " ".join([f"n{i}a", *(["widely"] if i % 3 else []), *(f"w{rng.randrange(900)}" for _ in range(3))]) for i in ids]
+    rows = [(i, t, "en", "web", 9) for i, t in zip(ids, texts, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sides = [[(r.entity_id, collections.Counter((r.name_norm + " " + r.address_norm).split())) for r in x.collect()] for x in testbed.sides(spark, str(tmp_path))]
+    n, df = len(sides[1]), collections.Counter(t for _, x in sides[1] for t in x)
+    assert n > 1000 and df["widely"] > 0.02 * n
+    vec = []
+    for side in sides:
+        raw = [(e, {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in x.items() if t in df}) for e, x in side]
+        vec.append([(e, {t: w / math.sqrt(sum(v * v for v in x.values())) for t, w in x.items()}) for e, x in raw])
+    post = collections.defaultdict(list)
+    for g, x in vec[1]:
+        for t, w in x.items():
+            post[t].append((g, w))
+    want = {}
+    for s, x in vec[0]:
+        cos = collections.Counter()
+        for t, w in x.items():
+            for g, v in post[t]:
+                cos[g] += w * v
+        best = sorted((-round(c, 9), g) for g, c in cos.items() if round(c, 9) > 0.15)[:40]
+        want |= {(s, g): -c for c, g in best}
+    got = {(r.s1, r.g): r.cos for r in catalogue.QUERIES["block_word_tfidf_topn"](spark, str(tmp_path)).collect()}
+    words = [{e: set(x) for e, x in side} for side in sides]
+    assert sum(all(df[t] > 0.02 * n for t in words[0][s] & words[1][g]) for s, g in got) > 20
+    assert set(got) == set(want) and all(c == pytest.approx(want[p], abs=1e-6) for p, c in got.items())
+
+
+def test_common_terms_as_a_matrix_change_no_product(monkeypatch):
+    """None, some or all terms of a block as columns: a block of 30 records that 50 pass."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(6)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("country", "s1", "g", "legs", "back", "given", "cos")])
+
+    def batch(n):
+        none = pa.array([[] for _ in range(n)], pa.list_(pa.string())), pa.array([[] for _ in range(n)], pa.list_(pa.float64()))
+        terms = [[f"t{t}" for t in np.flatnonzero(rng.random(12) < np.arange(12) / 12)] for _ in range(n)]
+        ids = pa.array([f"{i:03}" for i in range(n)])
+        return pa.RecordBatch.from_arrays([ids, ids, ids, ids, *none, pa.array(terms, pa.list_(pa.string())), pa.array([rng.random(len(t)).tolist() for t in terms], pa.list_(pa.float64()))], names=list("pqrstuvw"))
+
+    x, y, found = batch(30), batch(50), []
+    for rows, columns in ((1000, 256), (14, 256), (0, 256), (0, 3)):
+        monkeypatch.setattr(vectorize, "COMMON_ROWS", rows)
+        monkeypatch.setattr(vectorize, "COLUMNS", columns)
+        cell = vectorize._Cell("A", [(0.05, 5)], (0.2, 2), schema)
+        cell.ask(x)
+        assert not list(cell.meet(y))
+        found.append({(r["s1"], r["g"]): (r["legs"], r["back"], *r["cos"]) for b in cell.close() for r in b.to_pylist()})
+        assert (len(cell.common[0][1]) > 0) == (rows < 1000)
+    assert len(found[0]) > 100 and all(set(f) == set(found[0]) for f in found)
+    assert all(f[k][:2] == found[0][k][:2] and f[k][2] == pytest.approx(found[0][k][2], abs=2e-9) for f in found for k in f)

@@ -65,18 +65,20 @@ kpairs AS (SELECT country, s1, g, leg FROM (SELECT q.country, q.entity_id s1, k.
   FROM keys q JOIN gkeys k ON q.country = k.country AND q.leg = k.leg AND q.key = k.key WHERE q.entity_id LIKE 'S1-%') WHERE r <= 30)"""
 
 
-def _tfidf(p: str, terms: str, frac: float, min_df: int) -> str:
+def _tfidf(p: str, terms: str, frac: float | None, min_df: int) -> str:
+    """frac: the share of gallery records that a term may be in; None for terms of any."""
+    most = "" if frac is None else f"df <= CASE WHEN n <= 1000 THEN n ELSE greatest(2, least(floor(n * {frac}), 10000)) END AND "
     return f"""
 {p}c AS (SELECT country, entity_id, source, term, count(*) tf FROM (SELECT country, entity_id, source, unnest({terms}) term FROM norm) GROUP BY ALL),
 {p}n AS (SELECT country, count(*) n FROM gal GROUP BY 1),
 {p}t AS (SELECT d.country, d.term, ln((1 + n) / (1 + df)) + 1 idf FROM (SELECT country, term, count(*) df FROM {p}c WHERE source <> 'S1' GROUP BY ALL) d JOIN {p}n USING (country)
-  WHERE df <= CASE WHEN n <= 1000 THEN n ELSE greatest(2, least(floor(n * {frac}), 10000)) END AND df >= CASE WHEN n > 100 THEN {min_df} ELSE 1 END),
+  WHERE {most}df >= CASE WHEN n > 100 THEN {min_df} ELSE 1 END),
 {p}r AS (SELECT c.country, entity_id, source, c.term, (1 + ln(tf)) * idf w FROM {p}c c JOIN {p}t t ON c.country = t.country AND c.term = t.term),
 {p}w AS (SELECT country, entity_id, source, term, w / sqrt(sum(w * w) OVER (PARTITION BY country, entity_id)) w FROM {p}r),
 {p}d AS (SELECT a.country, a.entity_id s1, b.entity_id g, round(sum(a.w * b.w), 9) cos FROM {p}w a JOIN {p}w b ON a.country = b.country AND a.term = b.term WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY ALL)"""
 
 
-WORD = _tfidf("w", f"list_concat({_words('name_norm')}, {_words('address_norm')})", 0.02, 1)
+WORD, ALL_WORDS = (_tfidf("w", f"list_concat({_words('name_norm')}, {_words('address_norm')})", frac, 1) for frac in (0.02, None))
 _NOSPACE = "replace(name_norm, ' ', '')"
 CHAR = _tfidf("c", f"list_concat(list_transform(range(1, length({_NOSPACE}) - 1), lambda i: substring({_NOSPACE}, i, 3)), list_transform(range(1, length({_NOSPACE}) - 2), lambda i: substring({_NOSPACE}, i, 4)))", 0.01, 2)
 
@@ -179,7 +181,7 @@ ORACLE_SQL: dict[str, str] = {
     "block_exact_keys": _with(BED, NORM, KEYS) + " SELECT DISTINCT country, s1, g FROM kpairs WHERE leg = 8",
     "block_address_keys": _with(BED, NORM, KEYS) + " SELECT DISTINCT country, s1, g FROM kpairs WHERE leg = 4",
     "block_pin_key": _with(BED, NORM, KEYS) + " SELECT DISTINCT country, s1, g FROM kpairs WHERE leg = 16",
-    "block_word_tfidf_topn": _with(BED, NORM, WORD) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM wd WHERE cos > 0.15) WHERE r <= 40",
+    "block_word_tfidf_topn": _with(BED, NORM, ALL_WORDS) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM wd WHERE cos > 0.15) WHERE r <= 40",
     "block_char_tfidf_topn": _with(BED, NORM, CHAR) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY cos DESC, g) r FROM cd WHERE cos > 0.30) WHERE r <= 40",
     "block_bidirectional": _with(BED, NORM, WORD) + " SELECT country, s1, g, round(cos + 1e-10, 6) AS cos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, g ORDER BY cos DESC, s1) r FROM wd WHERE cos > 0.30) WHERE r <= 3",
     "candidate_union_score": _with(*ALL) + " SELECT * REPLACE (round(blocking_score + 1e-10, 6) AS blocking_score) FROM cand",
