@@ -110,3 +110,22 @@ def test_command_lines_from_raw_to_output(spark, tmp_path):
     assert result.join(true, [S1, CANDIDATE]).count() > 40
     with pytest.raises(SystemExit):
         cli.main(["run", "--work", work, "--stages", "no"], spark)
+
+
+def test_the_query_learns_all_rounds_of_the_operator(spark, monkeypatch):
+    """The registered query learned five trees a phase."""
+    import inspect
+
+    from tidemark.plans import catalogue, testbed
+
+    rng = random.Random(14)
+    rows = [(f"S1-{i}", f"S2-{j}", x, y, int(x + 0.5 * y + rng.gauss(0, 0.1) > 0.9)) for i in range(250) for j in range(4) for x, y in [(rng.random(), rng.random())]]
+    df = spark.createDataFrame(rows, f"{S1} string, {CANDIDATE} string, name__x float, addr__y float, label int").withColumns({c: F.lit(0.0) for c in ("addr__house_number_conflict", "addr__lev_ratio", "name__lev_ratio", "sem__embedding_cosine")})
+    s1 = df.select(F.col(S1).alias("entity_id"), F.lit("US").alias("country")).distinct()
+    monkeypatch.setattr(catalogue, "feature_matrix", lambda spark, sf_dir: df)
+    monkeypatch.setattr(testbed, "sides", lambda spark, sf_dir: (s1, s1))
+    seen, fit = [], learning.fit_trees
+    monkeypatch.setattr(learning, "fit_trees", lambda rows, *x, **y: seen.append(fit(rows, *x, **y)) or seen[-1])
+    out = catalogue.QUERIES["gbt_two_phase"](spark, "").toPandas()
+    assert [model.getNumTrees for model in seen] == [inspect.signature(learning.two_phase).parameters["rounds"].default] * 2
+    assert 0 < len(out) < len(rows) and ((out.prob > 0.5) == (out.label == 1)).mean() > 0.8  # labels are noisy
